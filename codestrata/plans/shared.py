@@ -49,6 +49,16 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def settled(df: DataFrame, name: str) -> DataFrame:
+    """A DataFrame whose partitions hold the same rows in the same order whenever they are
+    computed again: itself if it is a narrow plan over files, else a written table.
+
+    Rows that come out of a shuffle may change places when a lost executor's work is redone.
+    """
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return materialize(df, name) if "Exchange" in plan or "Scan ExistingRDD" in plan else df
+
+
 def plan_bytes(df: DataFrame) -> int | None:
     """The optimizer's estimate of a DataFrame's size, None where it has none."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
