@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from . import bpe, licenses, mixing, sharding
+from . import bpe, jaccard, licenses, mixing, sharding
 
 QUERIES = {
     "op1_byte_level_bpe": bpe.op1_byte_level_bpe,
     "op3_source_mixing": mixing.op3_source_mixing,
+    "op8_ngram_jaccard_join": jaccard.op8_ngram_jaccard_join,
     "op9_hash_tree_sharding": sharding.op9_hash_tree_sharding,
     "op10_license_scan": licenses.op10_license_scan,
 }
 ORACLES = {
     "op3_source_mixing": mixing.SQL,
+    "op8_ngram_jaccard_join": jaccard.SQL,
     "op9_hash_tree_sharding": sharding.SQL,
 }
