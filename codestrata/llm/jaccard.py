@@ -39,10 +39,10 @@ from ._frames import MAX_SAFE_ROWS, id_text, table
 
 N = 3
 THRESHOLD = 0.5
-BLOCK_GRAMS = 3_000_000
+BLOCK_GRAMS = 1_000_000
 """Grams a block gathers before it is sent off."""
 BLOCK_SETS = 60_000
-SLICE_BYTES = 24 << 20
+SLICE_BYTES = 10 << 20
 """Text bytes whose grams make a slice, on average."""
 GRAM_BITS = 42
 """Bits of a gram's hash besides those that name its slice."""
