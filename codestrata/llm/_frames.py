@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MAX_SAFE_ROWS = 4_000_000
+MAX_SAFE_ROWS = 1_000_000
 """Rows of at most two numbers that may be broadcast; checked by a count before."""
 
 

@@ -46,6 +46,8 @@ SLICE_BYTES = 10 << 20
 """Text bytes whose grams make a slice, on average."""
 GRAM_BITS = 42
 """Bits of a gram's hash besides those that name its slice."""
+PROBE_ENTRIES = 250_000
+"""List entries of a slice that are probed at once; a longer list is probed whole."""
 CELL_PAIRS = 1_000_000
 """Candidate pairs over which a cell is split by hash."""
 BIN_PAIRS = 200_000
@@ -310,16 +312,22 @@ def _probe_slice(threshold: float):
         def whole(name, kind):
             return np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in rows.column(name)])
 
-        done, open_, waiting = [], [], 0
-        for a, b in probe_lists(whole("grams", _U64), whole("keys", _I64), whole("sizes", np.uint32), whole("places", np.uint32), threshold):
-            open_.append((a, b))
-            waiting += len(a)
-            if waiting > 4_000_000:
-                done.append(_distinct_pairs(np.concatenate([x for x, _ in done + open_]), np.concatenate([y for _, y in done + open_])))
-                done, open_, waiting = done[-1:], [], 0
-        done += open_
-        a = np.concatenate([x for x, _ in done]) if done else np.zeros(0, _I64)
-        b = np.concatenate([y for _, y in done]) if done else np.zeros(0, _I64)
+        grams, keys, sizes, places = whole("grams", _U64), whole("keys", _I64), whole("sizes", np.uint32), whole("places", np.uint32)
+        order = np.argsort(grams, kind="stable")
+        grams = grams[order]
+        starts = np.flatnonzero(np.concatenate(([True], grams[1:] != grams[:-1])))
+        cuts = np.append(starts[np.unique(np.searchsorted(starts, np.arange(0, len(grams), PROBE_ENTRIES)).clip(max=len(starts) - 1))], len(grams))
+        a = b = np.zeros(0, _I64)
+        open_, waiting = [], 0
+        for low, high in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            part = order[low:high]
+            for pair in probe_lists(grams[low:high], keys[part], sizes[part], places[part], threshold):
+                open_.append(pair)
+                waiting += len(pair[0])
+                if waiting > 1_000_000 + len(a):
+                    a, b = _distinct_pairs(np.concatenate([a, *(x for x, _ in open_)]), np.concatenate([b, *(y for _, y in open_)]))
+                    open_, waiting = [], 0
+        a, b = np.concatenate([a, *(x for x, _ in open_)]), np.concatenate([b, *(y for _, y in open_)])
         a, b = _distinct_pairs(a, b)
         return pa.table([pa.array(a), pa.array(b)], names=["x", "y"])
 
@@ -435,8 +443,14 @@ def _join_sets(docs: DataFrame, id_col: str, text_col: str, n: int, threshold: f
     lists = sets.mapInArrow(_send_prefixes(list_slices), "slice int, grams binary, keys binary, sizes binary, places binary")
     pairs = materialize(lists.groupBy("slice").applyInArrow(_probe_slice(threshold), "x bigint, y bigint").distinct(), "jaccard-candidates")
     # a cell is named by the least key near a pair; cells of many pairs are split by one side's hash
-    least = pairs.select("x", "y").union(pairs.select(F.col("y").alias("x"), F.col("x").alias("y"))).groupBy("x").agg(F.min("y").alias("near")).select(F.col("x").alias("key"), F.least("x", "near").alias("label"))
-    named = pairs.join(least.withColumnsRenamed({"key": "x", "label": "lx"}), "x").join(least.withColumnsRenamed({"key": "y", "label": "ly"}), "y").select("x", "y", F.least("lx", "ly").alias("label"))
+    both = pairs.select("x", "y").union(pairs.select(F.col("y").alias("x"), F.col("x").alias("y")))
+    near = materialize(both.groupBy("x").agg(F.min("y").alias("near")).select(F.col("x").alias("key"), F.least("x", "near").alias("label")), "jaccard-labels")
+    n_near = near.count()
+
+    def label(side: str) -> DataFrame:
+        return maybe_broadcast(near.select(F.col("key").alias(side), F.col("label").alias("l" + side)), n_near, MAX_SAFE_ROWS)
+
+    named = pairs.join(label("x"), "x").join(label("y"), "y").select("x", "y", F.least("lx", "ly").alias("label"))
     heavy = named.groupBy("label").count().where(F.col("count") > CELL_PAIRS).select("label", F.ceil(F.col("count") / CELL_PAIRS).cast("int").alias("parts"))
     heavy = materialize(heavy, "jaccard-heavy")
     split = named.join(maybe_broadcast(heavy, heavy.count(), MAX_SAFE_ROWS), "label", "left")
@@ -463,9 +477,10 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int
     table gives an empty result.
     """
     members, pairs = _join_sets(docs, id_col, text_col, n, threshold)
-    members = members.distinct()
-    a = members.select(F.col("doc").alias("a"), F.col("key").alias("x"))
-    b = members.select(F.col("doc").alias("b"), F.col("key").alias("y"))
+    members = materialize(members.distinct(), "jaccard-members")
+    n_members = members.count()
+    a = maybe_broadcast(members.select(F.col("doc").alias("a"), F.col("key").alias("x")), n_members, MAX_SAFE_ROWS)
+    b = maybe_broadcast(members.select(F.col("doc").alias("b"), F.col("key").alias("y")), n_members, MAX_SAFE_ROWS)
     same = a.join(b, F.col("x") == F.col("y")).where("a < b").select("a", "b", F.lit(1.0).alias("jaccard"))
     cross = pairs.join(a, "x").join(b, "y").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "jaccard")
     out = same.union(cross)
