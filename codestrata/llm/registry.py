@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, jaccard, licenses, mixing, sharding
+from . import bpe, jaccard, licenses, mixing, pii, sharding, toxicity
 
 QUERIES = {
     "op1_byte_level_bpe": bpe.op1_byte_level_bpe,
     "op3_source_mixing": mixing.op3_source_mixing,
+    "op5_toxicity": toxicity.op5_toxicity,
+    "op6_pii_sanitisation": pii.op6_pii_sanitisation,
     "op8_ngram_jaccard_join": jaccard.op8_ngram_jaccard_join,
     "op9_hash_tree_sharding": sharding.op9_hash_tree_sharding,
     "op10_license_scan": licenses.op10_license_scan,
