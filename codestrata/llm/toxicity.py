@@ -7,7 +7,8 @@ pointwise mutual information makes them a word graph. Two random walks with rest
 from each kind of seed, give every term two visiting rates. The logarithm of their ratio,
 less that of the clean seeds around the term, is its polarity: without that, a language
 with many toxic seeds would colour all of its terms. The toxic lexicon has the toxic seeds
-and the terms of no label that stand out. A document scores by the polarity of its toxic
+and, if labelled documents are told apart the better for them, the terms of no label that
+stand out. A document scores by the polarity of its toxic
 terms, and the threshold is the one that separates the labelled documents best.
 
 Graph terms are chosen by shares of the documents, so their number does not grow with the
@@ -263,20 +264,20 @@ def walk(pairs: DataFrame, terms: np.ndarray, toxic: tuple[np.ndarray, np.ndarra
     return polarity, float(polarity[neutral].std()) if neutral.any() else 0.0
 
 
-def lexicon(docs: DataFrame, labels: DataFrame, sample: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> tuple[np.ndarray, np.ndarray]:
-    """(hashes in order, polarity) of the toxic terms of a corpus."""
+def lexicon(docs: DataFrame, labels: DataFrame, sample: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes in order, polarity, whether a seed) of the toxic terms of a corpus."""
     picked = id_text(docs, id_col, text_col)
     sample = materialize(labelled(picked, labels), "toxicity-sample") if sample is None else sample
     toxic, clean = seeds(sample)
     if not len(toxic[0]):
-        return np.zeros(0, np.uint64), np.zeros(0)
+        return np.zeros(0, np.uint64), np.zeros(0), np.zeros(0, bool)
     terms = graph_terms(picked, toxic[0])
     sent = picked.mapInArrow(_send_pairs(terms), "slice int, codes binary, counts binary")
     pairs = materialize(sent.groupBy("slice").applyInArrow(_add_pairs(len(terms)), "slice int, a binary, b binary, n binary"), "toxicity-pairs")
     polarity, deviation = walk(pairs, terms, toxic, clean)
     is_seed, is_clean = np.isin(terms, toxic[0]), np.isin(terms, clean[0])
     keep = is_seed | (~is_clean & (polarity >= max(MARGIN, SPREAD * deviation)))
-    return terms[keep], np.maximum(polarity[keep], MARGIN)
+    return terms[keep], np.maximum(polarity[keep], MARGIN), is_seed[keep]
 
 
 # -- scores
@@ -297,8 +298,8 @@ def _scores(texts: pa.Array, terms: np.ndarray, weights: np.ndarray) -> tuple[np
     return score, np.bincount(owner, minlength=n)
 
 
-def threshold(sample: DataFrame, terms: np.ndarray, weights: np.ndarray) -> float:
-    """The score from which labelled documents are best called toxic, by F1; ties go to the highest."""
+def threshold(sample: DataFrame, terms: np.ndarray, weights: np.ndarray) -> tuple[float, float]:
+    """(score from which labelled documents are best called toxic, its F1); ties go to the highest."""
 
     def run(batch: pa.RecordBatch):
         for a, b in K.chunks(batch.column(1)):
@@ -310,19 +311,24 @@ def threshold(sample: DataFrame, terms: np.ndarray, weights: np.ndarray) -> floa
     order = np.argsort(-score)
     score, t, n = score[order], np.cumsum(t[order]), np.cumsum(n[order])
     if not len(score) or not t[-1]:
-        return math.inf
+        return math.inf, 0.0
     f1 = np.where(score > 0, 2 * t / (n + t[-1]), 0)
     best = int(f1.argmax())
     # halfway to the next lower score
     low = score[best + 1] if best + 1 < len(score) else 0.0
-    return float((score[best] + low) / 2) if f1[best] > 0 else math.inf
+    return (float((score[best] + low) / 2), float(f1[best])) if f1[best] > 0 else (math.inf, 0.0)
 
 
 def model(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[np.ndarray, np.ndarray, float]:
     """(terms, weights, threshold) fitted on a corpus and its labels."""
     sample = materialize(labelled(id_text(docs, id_col, text_col), labels), "toxicity-sample")
-    terms, weights = lexicon(docs, labels, sample, id_col, text_col)
-    return terms, weights, threshold(sample, terms, weights)
+    terms, weights, is_seed = lexicon(docs, labels, sample, id_col, text_col)
+    # terms that only the walk found stay if the labelled documents are told apart the better for them
+    whole, f1 = threshold(sample, terms, weights)
+    if is_seed.all():
+        return terms, weights, whole
+    part, seeds_f1 = threshold(sample, terms[is_seed], weights[is_seed])
+    return (terms, weights, whole) if f1 > seeds_f1 else (terms[is_seed], weights[is_seed], part)
 
 
 def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
