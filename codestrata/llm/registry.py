@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, jaccard, licenses, mixing, pii, sharding, toxicity
+from . import bpe, jaccard, licenses, mixing, pii, sharding, toxicity, vptree
 
 QUERIES = {
     "op1_byte_level_bpe": bpe.op1_byte_level_bpe,
+    "op2_vantage_point_neighbors": vptree.op2_vantage_point_neighbors,
     "op3_source_mixing": mixing.op3_source_mixing,
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_pii_sanitisation": pii.op6_pii_sanitisation,
