@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -29,6 +30,52 @@ def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return docs.select(col(docs, id_col).cast("bigint").alias("id"), F.make_valid_utf8(col(docs, text_col).cast("string")).alias("text"))
 
 
+def release() -> None:
+    """Give a worker's free memory back. Workers live on between tasks, and what one
+    stage needed for a while would otherwise stay with the executor for all that follow."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
+def tidy(run):
+    """An iterator function for mapInArrow that releases memory when its task ends."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return wrapped
+
+
+def tidy_group(fn):
+    """Likewise a function of one table, for applyInArrow."""
+
+    def wrapped(rows):
+        try:
+            return fn(rows)
+        finally:
+            release()
+
+    return wrapped
+
+
+def tidy_cogroup(fn):
+    """Likewise a function of two tables."""
+
+    def wrapped(left, right):
+        try:
+            return fn(left, right)
+        finally:
+            release()
+
+    return wrapped
+
+
 def batched(fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]):
     """An iterator function for mapInArrow from a function of one batch."""
 
@@ -37,4 +84,4 @@ def batched(fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]):
             if batch.num_rows:
                 yield from fn(batch)
 
-    return run
+    return tidy(run)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _kernels as K
+from ._frames import tidy
 
 MERGE_AT = 1_500_000
 """Entries a task gathers before it adds them up."""
@@ -56,4 +57,4 @@ def term_df(picked: DataFrame) -> DataFrame:
             for a in range(0, len(h), 50_000):
                 yield pa.RecordBatch.from_arrays([pa.array(h[a : a + 50_000].view(np.int64)), pa.array(c[a : a + 50_000])], ["term", "df"])
 
-    return picked.mapInArrow(run, "term bigint, df bigint").groupBy("term").agg(F.sum("df").alias("df"))
+    return picked.mapInArrow(tidy(run), "term bigint, df bigint").groupBy("term").agg(F.sum("df").alias("df"))

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from ..plans.shared import materialize, maybe_broadcast, settled, slices
 from . import _kernels as K
 from ._components import components
-from ._frames import MAX_SAFE_ROWS, id_text, table
+from ._frames import MAX_SAFE_ROWS, id_text, table, tidy, tidy_cogroup, tidy_group
 
 N = 3
 THRESHOLD = 0.5
@@ -433,15 +433,15 @@ def _join_sets(docs: DataFrame, id_col: str, text_col: str, n: int, threshold: f
     picked = settled(id_text(docs, id_col, text_col).where("id IS NOT NULL AND text IS NOT NULL"), "jaccard-docs")
     slice_bits = max(0, math.ceil(math.log2(slices(docs, text_col, SLICE_BYTES))))
     gram_bits = min(GRAM_BITS, 63 - slice_bits)
-    sent = picked.mapInArrow(_send_blocks(n, slice_bits, gram_bits), "slice int, block bigint, grams binary, sets binary")
-    counted = sent.groupBy("slice").applyInArrow(_count_slice(gram_bits), "block bigint, slice int, sets binary, grams binary, df binary")
-    closed = materialize(counted.groupBy("block").applyInArrow(_close_block(gram_bits, threshold), "doc bigint, key bigint, n bigint, prefix int, grams binary"), "jaccard-sets")
+    sent = picked.mapInArrow(tidy(_send_blocks(n, slice_bits, gram_bits)), "slice int, block bigint, grams binary, sets binary")
+    counted = sent.groupBy("slice").applyInArrow(tidy_group(_count_slice(gram_bits)), "block bigint, slice int, sets binary, grams binary, df binary")
+    closed = materialize(counted.groupBy("block").applyInArrow(tidy_group(_close_block(gram_bits, threshold)), "doc bigint, key bigint, n bigint, prefix int, grams binary"), "jaccard-sets")
     members = closed.where("doc IS NOT NULL").select("doc", "key")
     sets = closed.where("doc IS NULL").select("key", "n", "prefix", "grams")
     total = sets.agg(F.coalesce(F.sum("prefix"), F.lit(0)).alias("s")).first()["s"]
     list_slices = max(1, -(-total // 2_000_000))
-    lists = sets.mapInArrow(_send_prefixes(list_slices), "slice int, grams binary, keys binary, sizes binary, places binary")
-    pairs = materialize(lists.groupBy("slice").applyInArrow(_probe_slice(threshold), "x bigint, y bigint").distinct(), "jaccard-candidates")
+    lists = sets.mapInArrow(tidy(_send_prefixes(list_slices)), "slice int, grams binary, keys binary, sizes binary, places binary")
+    pairs = materialize(lists.groupBy("slice").applyInArrow(tidy_group(_probe_slice(threshold)), "x bigint, y bigint").distinct(), "jaccard-candidates")
     # a cell is named by the least key near a pair; cells of many pairs are split by one side's hash
     both = pairs.select("x", "y").union(pairs.select(F.col("y").alias("x"), F.col("x").alias("y")))
     near = materialize(both.groupBy("x").agg(F.min("y").alias("near")).select(F.col("x").alias("key"), F.least("x", "near").alias("label")), "jaccard-labels")
@@ -460,7 +460,7 @@ def _join_sets(docs: DataFrame, id_col: str, text_col: str, n: int, threshold: f
     cells = materialize(cells.withColumn("bin", F.pmod(F.xxhash64("cell"), F.lit(bins)).cast("int")), "jaccard-cells")
     wanted = cells.select(F.col("bin").alias("of"), F.col("x").alias("key")).union(cells.select(F.col("bin").alias("of"), F.col("y").alias("key"))).distinct()
     shipped = wanted.join(sets.select("key", "n", "grams"), "key")
-    answers = cells.groupBy("bin").cogroup(shipped.groupBy("of")).applyInArrow(_answer_bin(threshold), "x bigint, y bigint, jaccard double")
+    answers = cells.groupBy("bin").cogroup(shipped.groupBy("of")).applyInArrow(tidy_cogroup(_answer_bin(threshold)), "x bigint, y bigint, jaccard double")
     return members, materialize(answers, "jaccard-pairs")
 
 

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from ..plans.shared import materialize
 from . import _kernels as K
-from ._frames import id_text, table
+from ._frames import id_text, table, tidy
 from ._vocab import term_df
 
 WINDOW = 5
@@ -129,7 +129,7 @@ def disclosure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     rows count each time, on both sides of the ratio.
     """
     picked = id_text(docs, id_col, text_col)
-    rows = materialize(picked.mapInArrow(_contexts, "class string, term string, value bigint, first bigint").groupBy("class", "term", "value").agg(F.sum("first").alias("first")), "pii-contexts")
+    rows = materialize(picked.mapInArrow(tidy(_contexts), "class string, term string, value bigint, first bigint").groupBy("class", "term", "value").agg(F.sum("first").alias("first")), "pii-contexts")
     totals = {r["class"]: r["n"] for r in rows.where("term IS NULL").groupBy("class").agg(F.sum("first").alias("n")).collect()}
     n_docs = max(1, totals.pop(None, 0) or 0)
     near = rows.where("term IS NOT NULL").groupBy("class", "term").agg(F.sum("first").alias("near"), F.count("*").alias("n_values")).where(F.col("n_values") >= MIN_VALUES)
@@ -238,7 +238,7 @@ def _pass(docs: DataFrame, text_col: str, length_col: str | None, chosen: dict[s
 
     clean = docs.withColumn(text_col, F.make_valid_utf8(F.col(f"`{text_col}`").cast("string"))) if first else docs
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in clean.schema.fields[: len(names)])
-    return clean.mapInArrow(run, f"{fields}, pii_entities int, pii_terms int")
+    return clean.mapInArrow(tidy(run), f"{fields}, pii_entities int, pii_terms int")
 
 
 def op6_pii_sanitisation(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from ..plans.shared import materialize
 from . import _kernels as K
-from ._frames import batched, id_text, table
+from ._frames import batched, id_text, table, tidy, tidy_group
 from ._vocab import distinct_words, sum_by_key, term_df
 
 LABEL_SAMPLE = 20_000
@@ -272,8 +272,8 @@ def lexicon(docs: DataFrame, labels: DataFrame, sample: DataFrame | None = None,
     if not len(toxic[0]):
         return np.zeros(0, np.uint64), np.zeros(0), np.zeros(0, bool)
     terms = graph_terms(picked, toxic[0])
-    sent = picked.mapInArrow(_send_pairs(terms), "slice int, codes binary, counts binary")
-    pairs = materialize(sent.groupBy("slice").applyInArrow(_add_pairs(len(terms)), "slice int, a binary, b binary, n binary"), "toxicity-pairs")
+    sent = picked.mapInArrow(tidy(_send_pairs(terms)), "slice int, codes binary, counts binary")
+    pairs = materialize(sent.groupBy("slice").applyInArrow(tidy_group(_add_pairs(len(terms))), "slice int, a binary, b binary, n binary"), "toxicity-pairs")
     polarity, deviation = walk(pairs, terms, toxic, clean)
     is_seed, is_clean = np.isin(terms, toxic[0]), np.isin(terms, clean[0])
     keep = is_seed | (~is_clean & (polarity >= max(MARGIN, SPREAD * deviation)))

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.shared import materialize
-from ._frames import batched, table
+from ._frames import batched, table, tidy_cogroup, tidy_group
 
 K_NEAREST = 10
 FACTOR = 4.0
@@ -172,7 +172,7 @@ def neighbors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "emb
         VpTree(x, ids).search(x, ids, best, factor)
         return _answers(ids, best)
 
-    own = materialize(placed.groupBy("shard").applyInArrow(inside, "id bigint, neighbor bigint, distance double"), "ann-own")
+    own = materialize(placed.groupBy("shard").applyInArrow(tidy_group(inside), "id bigint, neighbor bigint, distance double"), "ann-own")
     parts = [own]
     if len(pivots) > 1:
         bound = own.groupBy("id").agg(F.when(F.count("*") >= k, F.max("distance")).alias("bound"))
@@ -202,7 +202,7 @@ def neighbors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "emb
                 tree.search(_matrix(queries.column("x"), dim), ids, best, factor)
             return _answers(ids, best)
 
-        parts.append(sent.groupBy("shard", "turn").cogroup(hosts.groupBy("shard", "turn")).applyInArrow(visit, "id bigint, neighbor bigint, distance double"))
+        parts.append(sent.groupBy("shard", "turn").cogroup(hosts.groupBy("shard", "turn")).applyInArrow(tidy_cogroup(visit), "id bigint, neighbor bigint, distance double"))
     every = parts[0] if len(parts) == 1 else parts[0].union(parts[1])
     # of rows with one id and different vectors, the nearer pairing counts
     pairs = every.groupBy("id", "neighbor").agg(F.min("distance").alias("distance"))
