@@ -31,12 +31,20 @@ def local_session(cores: int = 8, shuffle_partitions: int | None = None, driver_
     return ship(spark)
 
 
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def ship(spark: SparkSession) -> SparkSession:
     """Make this package importable by the Python workers of a session.
 
+    Arrow batches are set to 2,000 rows where the application names no number: rows here
+    hold whole texts, and an executor keeps several batches of each task in memory.
+
     Nothing is done where PYTHONPATH already leads to it; otherwise the package is
     zipped once per application and distributed by the driver's file server.
     """
+    if not spark.sparkContext.getConf().contains(BATCH_ROWS):
+        spark.conf.set(BATCH_ROWS, "2000")
     root = str(PACKAGE.parent)
     if root in os.environ.get("PYTHONPATH", "").split(os.pathsep) or os.path.samefile(os.getcwd(), root):
         return spark
