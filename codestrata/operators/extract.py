@@ -118,7 +118,7 @@ def symbols(parsed: DataFrame) -> DataFrame:
 
 def _imported(rule: Imports, rank: int) -> Column:
     """The imports of a line that a rule finds, as an array of structs."""
-    names = F.regexp_extract_all("line", F.lit(rule.pattern), F.lit(2)) if rule.names else None
+    names = F.regexp_extract_all("__line", F.lit(rule.pattern), F.lit(2)) if rule.names else None
 
     def one(spec: Column, at: Column) -> Column:
         parts = F.array().cast("array<string>")
@@ -126,7 +126,7 @@ def _imported(rule: Imports, rank: int) -> Column:
             parts = F.filter(F.transform(F.split(F.element_at(names, at + 1), ","), lambda x: F.regexp_replace(F.trim(x), r"\s+as\s+.*$", "")), lambda x: x != "")
         return F.struct(F.trim(spec).alias("specifier"), parts.alias("names"), F.lit(rule.type_only).alias("is_type_only"), F.lit(rule.dynamic).alias("is_dynamic"), F.lit(rank).alias("k"))
 
-    return F.transform(F.regexp_extract_all("line", F.lit(rule.pattern), F.lit(1)), one)
+    return F.transform(F.regexp_extract_all("__line", F.lit(rule.pattern), F.lit(1)), one)
 
 
 def imports(texts: DataFrame) -> DataFrame:
@@ -140,9 +140,9 @@ def imports(texts: DataFrame) -> DataFrame:
         for k, rule in enumerate(family.imports):
             every = _imported(rule, k)
             found.append(F.when(here, every).otherwise(F.slice(every, 1, 0)))
-    rows = lines(texts.where(F.col("language").isin(*sorted(FAMILY_OF))), ("path", "language"))
+    rows = lines(texts.where(F.col("language").isin(*sorted(FAMILY_OF))), ("path", "language")).withColumnRenamed("line", "__line")
     # few lines import anything: a plain test first spares the rest the patterns
-    rows = rows.where(F.col("line").rlike(r"import|require|export|\buse\b|using|include|from|source|^\s*\.\s"))
+    rows = rows.where(F.col("__line").rlike(r"import|require|export|\buse\b|using|include|from|source|^\s*\.\s"))
     every = rows.select(F.col("path").alias("from"), F.col("line_no").alias("line"), F.explode(F.concat(*found)).alias("i")).where("i.specifier <> ''")
     return every.select("from", "i.specifier", "i.names", "i.is_type_only", "i.is_dynamic", "line", (F.col("line") * 100 + F.col("i.k")).alias("ord")).dropDuplicates(["from", "line", "specifier"])
 

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from ..plans.shared import materialize
 
 DAMPING = 0.85
+HOPS = 4
+"""Steps of a walk that are planned at a time, between two written tables."""
 
 
 def build(edges: DataFrame, nodes: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
@@ -58,26 +60,33 @@ def pagerank(nodes: DataFrame, edges: DataFrame, iterations: int = 40, tolerance
     return now.select("id", "score")
 
 
+def _hops(front: DataFrame, step: DataFrame, hops: int, keys: list[str]) -> DataFrame:
+    """What up to so many steps from a front get to: (keys, id), the front left out."""
+    found = None
+    for _ in range(hops):
+        front = front.join(step, "id").select(*keys, F.col("next").alias("id")).distinct()
+        found = front if found is None else found.union(front)
+    return found.distinct()
+
+
 def reach(edges: DataFrame, starts: DataFrame, backward: bool = False, depth: int | None = None) -> DataFrame:
     """reached(start, id): what a walk along (or against) the edges gets to; the start itself is left out.
 
-    ``depth``: edges at most, no bound if None.
+    ``depth``: edges at most, no bound if None. Each round takes ``HOPS`` steps in one plan
+    from what the last one found new, and writes what is new now.
     """
     a, b = ("dst", "src") if backward else ("src", "dst")
     step = materialize(edges.select(F.col(a).alias("id"), F.col(b).alias("next")).distinct(), "reach-edges")
-    front = materialize(starts.select(F.col("id").alias("start"), "id").distinct(), "reach")
-    seen = [front]
-    level = 0
-    while depth is None or level < depth:
-        every = seen[0] if len(seen) == 1 else seen[0].union(seen[1])
-        fresh = materialize(front.join(step, "id").select("start", F.col("next").alias("id")).distinct().join(every, ["start", "id"], "left_anti"), "reach")
-        if not fresh.limit(1).count():
+    front = seen = materialize(starts.select(F.col("id").alias("start"), "id").distinct(), "reach")
+    left = depth
+    while left is None or left > 0:
+        hops = HOPS if left is None else min(HOPS, left)
+        front = materialize(_hops(front, step, hops, ["start"]).join(seen, ["start", "id"], "left_anti"), "reach")
+        if not front.limit(1).count():
             break
-        seen = [every if level % 5 else materialize(every, "reach-seen"), fresh]
-        front = fresh
-        level += 1
-    every = seen[0] if len(seen) == 1 else seen[0].union(seen[1])
-    return every.where("start <> id")
+        seen = materialize(seen.union(front), "reach-seen")
+        left = None if left is None else left - hops
+    return seen.where("start <> id")
 
 
 def strongly_connected(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -90,27 +99,36 @@ def strongly_connected(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     links = materialize(edges.where("src <> dst").distinct(), "scc-edges")
     done = None
     while left.limit(1).count():
-        colour = materialize(left.select("id", F.col("id").alias("colour")), "scc")
+        colour = left.select("id", F.col("id").alias("colour"))
         while True:
-            heard = links.join(colour, F.col("src") == F.col("id")).groupBy(F.col("dst").alias("id")).agg(F.min("colour").alias("c"))
-            after = materialize(colour.join(heard, "id", "left").select("id", F.least("colour", F.coalesce("c", "colour")).alias("colour"), (F.coalesce("c", "colour") < F.col("colour")).alias("moved")), "scc")
-            moved = after.where("moved").limit(1).count()
+            after = colour.select("id", "colour", F.col("colour").alias("was"))
+            for _ in range(HOPS):
+                heard = links.join(after, F.col("src") == F.col("id")).groupBy(F.col("dst").alias("id")).agg(F.min("colour").alias("c"))
+                after = after.join(heard, "id", "left").select("id", F.least("colour", F.coalesce("c", "colour")).alias("colour"), "was")
+            after = materialize(after, "scc")
             colour = after.select("id", "colour")
-            if not moved:
+            if not after.where("colour < was").limit(1).count():
                 break
-        inner = links.join(colour.withColumnsRenamed({"id": "src", "colour": "cs"}), "src").join(colour.withColumnsRenamed({"id": "dst", "colour": "cd"}), "dst").where("cs = cd").select("src", "dst")
-        inner = materialize(inner, "scc-inner")
-        back = materialize(colour.where("id = colour").select("id", "colour"), "scc-back")
-        front = back
+        named = colour.withColumnsRenamed({"id": "src", "colour": "cs"}), colour.withColumnsRenamed({"id": "dst", "colour": "cd"})
+        inner = materialize(links.join(named[0], "src").join(named[1], "dst").where("cs = cd").select(F.col("dst").alias("id"), F.col("src").alias("next")), "scc-inner")
+        # a node without a link in or out among its colour is on no cycle: it is a component by itself
+        core = inner
+        for _ in range(HOPS):
+            core = core.join(core.select(F.col("next").alias("id")).distinct(), "id", "left_semi").join(core.select(F.col("id").alias("next")).distinct(), "next", "left_semi").select("id", "next")
+        core = materialize(core, "scc-core")
+        single = materialize(left.join(core.select("id").union(core.select("next")).distinct(), "id", "left_anti"), "scc-single")
+        inner = core
+        front = back = materialize(colour.where("id = colour").join(single, "id", "left_anti").select("colour", "id"), "scc-back")
         while True:
-            front = materialize(inner.join(front, F.col("dst") == F.col("id")).select(F.col("src").alias("id"), "colour").distinct().join(back, "id", "left_anti"), "scc-front")
+            front = materialize(_hops(front, inner, HOPS, ["colour"]).join(back, ["colour", "id"], "left_anti"), "scc-front")
             if not front.limit(1).count():
                 break
             back = materialize(back.union(front), "scc-back")
-        done = back if done is None else materialize(done.union(back), "scc-done")
-        left = materialize(left.join(back, "id", "left_anti"), "scc-left")
+        part = materialize(back.select("id", F.col("colour").alias("component")).union(single.select("id", F.col("id").alias("component"))), "scc-part")
+        done = part if done is None else materialize(done.union(part), "scc-done")
+        left = materialize(left.join(part, "id", "left_anti"), "scc-left")
         links = materialize(links.join(left.select(F.col("id").alias("src")), "src", "left_semi").join(left.select(F.col("id").alias("dst")), "dst", "left_semi"), "scc-edges")
-    return done.select("id", F.col("colour").alias("component")) if done is not None else left.select("id", F.col("id").alias("component"))
+    return done if done is not None else left.select("id", F.col("id").alias("component"))
 
 
 def topological_levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -118,16 +136,16 @@ def topological_levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     parts = materialize(strongly_connected(nodes, edges), "topo-parts")
     a, b = parts.withColumnsRenamed({"id": "src", "component": "a"}), parts.withColumnsRenamed({"id": "dst", "component": "b"})
     links = materialize(edges.join(a, "src").join(b, "dst").where("a <> b").select(F.col("a").alias("src"), F.col("b").alias("dst")).distinct(), "topo-edges")
-    left = materialize(parts.select("component").distinct(), "topo-left")
-    out, level = None, 0
-    while left.limit(1).count():
-        free = materialize(left.join(links.select(F.col("dst").alias("component")).distinct(), "component", "left_anti"), "topo-free")
-        now = free.select("component", F.lit(level).cast("bigint").alias("level"))
-        out = now if out is None else out.union(now)
-        left = materialize(left.join(free, "component", "left_anti"), "topo-left")
-        links = materialize(links.join(free.select(F.col("component").alias("src")), "src", "left_anti"), "topo-edges")
-        level += 1
-    return out if out is not None else left.select("component", F.lit(0).cast("bigint").alias("level"))
+    now = parts.select("component", F.lit(0).cast("bigint").alias("level")).distinct()
+    while True:
+        after = now.select("component", "level", F.col("level").alias("was"))
+        for _ in range(HOPS):
+            pushed = links.join(after, F.col("src") == F.col("component")).groupBy(F.col("dst").alias("component")).agg((F.max("level") + 1).alias("l"))
+            after = after.join(pushed, "component", "left").select("component", F.greatest("level", F.coalesce("l", "level")).alias("level"), "was")
+        after = materialize(after, "topo")
+        now = after.select("component", "level")
+        if not after.where("level > was").limit(1).count():
+            return now
 
 
 def neighbours(edges: DataFrame, node, backward: bool = False) -> DataFrame:
