@@ -284,7 +284,8 @@ def lexicon(docs: DataFrame, labels: DataFrame, sample: DataFrame | None = None,
 
 
 def _scores(texts: pa.Array, terms: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(score, toxic terms) of each text: the weights of its distinct toxic terms, over the log of its words."""
+    """(score, distinct toxic terms) of each text: the weights of its toxic terms, each times one
+    and the logarithm of its count, over the logarithm of the text's words."""
     words = K.Words(texts)
     n = len(words.offs) - 1
     if not len(terms):
@@ -292,9 +293,9 @@ def _scores(texts: pa.Array, terms: np.ndarray, weights: np.ndarray) -> tuple[np
     at = np.searchsorted(terms, words.hash)
     hit = np.flatnonzero(terms[np.minimum(at, len(terms) - 1)] == words.hash)
     owner = np.searchsorted(words.first, hit, side="right") - 1
-    code = np.unique(owner * np.int64(len(terms)) + at[hit])
+    code, count = np.unique(owner * np.int64(len(terms)) + at[hit], return_counts=True)
     owner, term = code // len(terms), code % len(terms)
-    score = np.bincount(owner, weights[term], n) / np.log2(2 + np.diff(words.first))
+    score = np.bincount(owner, weights[term] * (1 + np.log(count)), n) / np.log2(2 + np.diff(words.first))
     return score, np.bincount(owner, minlength=n)
 
 

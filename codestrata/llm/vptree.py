@@ -122,7 +122,7 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
 
 
 def _answers(ids: np.ndarray, best: Best) -> pa.Table:
-    found = best.ids != np.iinfo(np.int64).max
+    found = np.isfinite(best.dist)
     n = found.sum(axis=1)
     rows = np.repeat(np.arange(len(ids)), n)
     return pa.table({"id": ids[rows], "neighbor": best.ids[found], "distance": best.dist[found]})
