@@ -21,7 +21,8 @@ from ..plans.shared import materialize
 from ._frames import batched, table, tidy_cogroup, tidy_group
 
 K_NEAREST = 10
-FACTOR = 4.0
+FACTOR = 1.0
+"""Exact. How much a larger factor loses depends on the vectors: the fewer dimensions they really have, the more."""
 SHARD_ROWS = 20_000
 QUERY_ROWS = 20_000
 """Visiting vectors that one task searches a shard with, on average."""

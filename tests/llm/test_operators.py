@@ -85,6 +85,22 @@ def test_neighbors_exact_and_recall(spark, monkeypatch):
     assert len(near & want) >= 0.9 * len(want)
 
 
+@pytest.mark.parametrize("dim,rank", [(4, 4), (8, 8), (16, 16), (64, 6), (64, 16)])
+def test_neighbors_recall_on_few_dimensions(spark, monkeypatch, dim, rank):
+    monkeypatch.setattr(vptree, "SHARD_ROWS", 2500)
+    rng = np.random.default_rng(dim + rank)
+    x = rng.normal(size=(5000, rank))
+    if rank < dim:
+        x = x @ rng.normal(size=(rank, dim))
+        x /= np.linalg.norm(x, axis=1)[:, None]
+    frame = spark.createDataFrame(pa.table({"vec_id": np.arange(len(x)), "embedding": pa.array(list(x))}).to_pandas())
+    near = {(r["vec_id"], r["neighbor_id"]) for r in vptree.neighbors(frame).where("vec_id < 300").collect()}
+    d = vptree.distances(x[:300], x)
+    d[np.arange(300), np.arange(300)] = np.inf
+    want = {(i, int(j)) for i, row in enumerate(np.argsort(d, axis=1)[:, :10]) for j in row}
+    assert len(near & want) >= 0.9 * len(want)
+
+
 def test_neighbors_odd_rows(spark):
     rows = [(1, [0.0, 0.0]), (1, [0.0, 0.0]), (2, [0.0, 0.0]), (3, [3.0, 4.0]), (None, [1.0, 1.0]), (4, None), (5, []), (6, [1.0]), (7, [float("nan"), 1.0]), (8, [None, 1.0])]
     frame = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").withColumn("rank", F.lit("clash"))
