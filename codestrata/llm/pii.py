@@ -6,13 +6,16 @@ how much: with ``p(c)`` the share of documents that hold an entity of class ``c`
 ``p(c|t)`` the share of those with term ``t`` that have it near such an entity, the term
 discloses ``log(p(c|t) / p(c))`` of the ``-log p(c)`` there is to know. In documents that
 hold an entity of the class, terms are removed or replaced by a general one as that part
-exceeds thresholds. Documents without entities are not touched.
+exceeds thresholds. The same is done with every single entity in place of a class, so that
+a name which only ever stands beside one address goes where that address is. Documents
+without entities are not touched.
 """
 
 from __future__ import annotations
 
 import re
 from bisect import bisect_left, bisect_right
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -29,11 +32,15 @@ WINDOW = 5
 """Words on each side of an entity that count as near it."""
 MIN_VALUES = 5
 """Different values of a class that a term must have stood near, so that copies of one document prove nothing."""
+MIN_TEXTS = 2
+"""Different texts in which a term must have stood near one entity, for the same reason."""
 GENERALISE = 0.8
 REMOVE = 0.95
-"""Parts of a class's information from which a term is generalised, or removed."""
+"""Parts of a class's or an entity's information from which a term is generalised, or removed."""
 TERMS_AT_ONCE = 200_000
 """Disclosing terms that one pass takes along; more are applied in further passes."""
+TEXT_ROWS = 20_000
+"""Texts whose own terms may be broadcast; checked by a count."""
 GENERAL = "<TERM>"
 
 CANDIDATE = r"@|\d{1,3}\.\d{1,3}\.\d{1,3}\.\d|\d(?:[^\da-zA-Z]{0,3}\d){6}|[0-9a-fA-F]{32}|(?:[0-9a-fA-F]{1,4}:){7}|(?i:token|secret|api[_-]?key|passw|pwd|access[_-]?key)[^\n]{0,8}[:=]|AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{20}|sk-[A-Za-z0-9_-]{20}|[A-Z]{2}\d{2} ?[A-Z0-9]{4}"
@@ -101,61 +108,74 @@ def _hits(column: pa.Array) -> np.ndarray:
     return pc.fill_null(pc.match_substring_regex(column, CANDIDATE), False).to_numpy(zero_copy_only=False)
 
 
-def _contexts(batches):
-    """Rows (class, term, value, first): see ``disclosure``; a null term counts documents."""
-    from hashlib import blake2b
+def _value(text: str) -> int:
+    return int.from_bytes(blake2b(text.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
+
 
+def _contexts(batches):
+    """Rows (class, term, value, text, first, docs): see ``disclosure``; a null term counts documents, of the value where there is one."""
     for batch in batches:
-        rows = [(None, None, None, batch.num_rows - batch.column(1).null_count)]
+        rows = [(None, None, None, None, batch.num_rows - batch.column(1).null_count, 0)]
         for i in np.flatnonzero(_hits(batch.column(1))).tolist():
-            text = batch.column(1)[i].as_py()
+            text, key = batch.column(1)[i].as_py(), batch.column(2)[i].as_py()
             spans = entities(text)
             if not spans:
                 continue
-            rows += [(kind, None, None, 1) for kind in {k for _, _, k in spans}]
+            rows += [(kind, None, None, None, 1, 0) for kind in {k for _, _, k in spans}]
+            rows += [(kind, None, _value(value), key, 0, 1) for kind, value in sorted({(k, text[a:b]) for a, b, k in spans})]
             seen = set()
             for kind, term, value in sorted(_near(text, spans)):
-                rows.append((kind, term, int.from_bytes(blake2b(value.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True), int((kind, term) not in seen)))
+                rows.append((kind, term, _value(value), key, int((kind, term) not in seen), 1))
                 seen.add((kind, term))
-        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.string(), pa.int64(), pa.int64()))], ["class", "term", "value", "first"])
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64()))], ["class", "term", "value", "text", "first", "docs"])
+
+
+def contexts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """What stands near the entities of each text, counted; ``text`` is the text's ``xxhash64``."""
+    picked = id_text(docs, id_col, text_col).withColumn("key", F.xxhash64("text"))
+    return materialize(picked.mapInArrow(tidy(_contexts), "class string, term string, value bigint, text bigint, first bigint, docs bigint").groupBy("class", "term", "value", "text").agg(F.sum("first").alias("first"), F.sum("docs").alias("docs")), "pii-contexts")
 
 
-def disclosure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(class, term, near, df, part): how much of a class's information a term gives.
+def disclosure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", found: DataFrame | None = None) -> DataFrame:
+    """(class, value, term, near, df, part): how much of the information on a class, or on
+    one entity of it, a term gives.
 
-    ``near``: documents with the term near an entity of the class; ``df``: documents with
-    the term; ``part``: disclosed information over all there is. Terms near fewer than
-    ``MIN_VALUES`` different values are left out. Counted over all documents; repeated
-    rows count each time, on both sides of the ratio.
+    ``value`` is null for the class as a whole, else the hash of the entity. ``near``:
+    documents with the term near it; ``df``: documents with the term; ``part``: disclosed
+    information over all there is. Left out are terms near fewer than ``MIN_VALUES``
+    different values of a class, or near an entity in fewer than ``MIN_TEXTS`` different
+    texts. Counted over all documents; repeated rows count each time, on both sides of the
+    ratio. ``found``: the ``contexts`` of the documents.
     """
-    picked = id_text(docs, id_col, text_col)
-    rows = materialize(picked.mapInArrow(tidy(_contexts), "class string, term string, value bigint, first bigint").groupBy("class", "term", "value").agg(F.sum("first").alias("first")), "pii-contexts")
-    totals = {r["class"]: r["n"] for r in rows.where("term IS NULL").groupBy("class").agg(F.sum("first").alias("n")).collect()}
+    rows = contexts(docs, id_col, text_col) if found is None else found
+    totals = {r["class"]: r["n"] for r in rows.where("term IS NULL AND value IS NULL").groupBy("class").agg(F.sum("first").alias("n")).collect()}
     n_docs = max(1, totals.pop(None, 0) or 0)
-    near = rows.where("term IS NOT NULL").groupBy("class", "term").agg(F.sum("first").alias("near"), F.count("*").alias("n_values")).where(F.col("n_values") >= MIN_VALUES)
-    if not totals:
-        return near.select("class", "term", "near", F.col("near").alias("df"), F.lit(0.0).alias("part")).limit(0)
+    by_value = rows.where("term IS NOT NULL").groupBy("class", "term", "value").agg(F.sum("first").alias("first"), F.sum("docs").alias("docs"), F.count("*").alias("n_texts"))
+    share = F.create_map(*[F.lit(x) for kv in sorted((k, v / n_docs) for k, v in totals.items()) for x in kv])[F.col("class")] if totals else F.lit(1.0)
+    classes = by_value.groupBy("class", "term").agg(F.sum("first").alias("near"), F.count("*").alias("n_values")).where(F.col("n_values") >= MIN_VALUES)
+    classes = classes.select("class", F.lit(None).cast("bigint").alias("value"), "term", "near", share.alias("share"))
+    held = rows.where("term IS NULL AND value IS NOT NULL").groupBy("class", "value").agg((F.sum("docs") / n_docs).alias("share"))
+    single = by_value.where(F.col("n_texts") >= MIN_TEXTS).join(held, ["class", "value"]).select("class", "value", "term", F.col("docs").alias("near"), "share")
 
     def hashed(batches):
         for batch in batches:
-            data, offs = K.utf8_parts(batch.column(1))
+            data, offs = K.utf8_parts(batch.column(2))
             h = K.span_hash(data, offs[:-1], offs[1:]).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(h)], ["class", "term", "near", "hash"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(h)], ["class", "value", "term", "near", "share", "hash"])
 
-    near = near.select("class", "term", "near").mapInArrow(hashed, "class string, term string, near bigint, hash bigint")
-    joined = near.join(term_df(picked).withColumnRenamed("term", "hash"), "hash")
-    share = F.create_map(*[F.lit(x) for kv in sorted((k, v / n_docs) for k, v in totals.items()) for x in kv])[F.col("class")]
+    near = classes.union(single).mapInArrow(hashed, "class string, value bigint, term string, near bigint, share double, hash bigint")
+    joined = near.join(term_df(id_text(docs, id_col, text_col)).withColumnRenamed("term", "hash"), "hash")
     given = F.least(F.lit(1.0), F.col("near") / F.greatest("df", F.lit(1)))
-    part = F.when(share >= 1.0, F.lit(0.0)).otherwise(F.log(given / share) / -F.log(share))
-    return joined.select("class", "term", "near", "df", part.alias("part"))
+    part = F.when(F.col("share") >= 1.0, F.lit(0.0)).otherwise(F.log(given / F.col("share")) / -F.log("share"))
+    return joined.select("class", "value", "term", "near", "df", part.alias("part"))
 
 
-def _rewrite(text: str, terms: dict[str, dict[str, bool]], mask: bool) -> tuple[str, int, int]:
-    """(sanitised text, entities, terms). ``terms``: class -> term -> whether it is removed."""
+def _rewrite(text: str, terms: dict[str, dict[str, bool]], mask: bool, own: dict[str, bool] | None = None) -> tuple[str, int, int]:
+    """(sanitised text, entities, terms). ``terms``: class -> term -> whether it is removed; ``own``: those of the text's entities."""
     spans = entities(text) if mask else [(m.start(), m.end(), m.group()[1:-1]) for m in re.finditer("<(?:" + "|".join(CLASSES) + ")>", text)]
     if not spans:
         return text, 0, 0
-    active: dict[str, bool] = {}
+    active = dict(own or {})
     for kind in {k for _, _, k in spans}:
         for term, gone in terms.get(kind, {}).items():
             active[term] = active.get(term, False) or gone
@@ -191,13 +211,22 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
     All columns are kept, in order; ``length_col`` is set to the new text's characters
     where it is a column. Existing columns named ``pii_entities`` or ``pii_terms`` are
     replaced. Null texts stay null with counts 0; empty texts, texts without entities and
-    repeated rows come out as they went in, each once. Texts are scanned whole. No shuffle
-    of texts: only counts are shuffled, and the terms found are broadcast in bounded parts.
+    repeated rows come out as they went in, each once. Texts are scanned whole. Only counts
+    are shuffled, and the terms of classes are broadcast in bounded parts. The terms of
+    single entities are joined to the texts that hold them: by broadcast if ``TEXT_ROWS``
+    or fewer texts have any, else texts are shuffled.
     """
     docs = docs.drop("pii_entities", "pii_terms")
-    terms = materialize(disclosure(docs, id_col, text_col).where(F.col("part") >= GENERALISE).groupBy("class", "term").agg(F.max("part").alias("part")), "pii-terms")
+    found = contexts(docs, id_col, text_col)
+    every = materialize(disclosure(docs, id_col, text_col, found).where(F.col("part") >= GENERALISE), "pii-terms")
+    terms = every.where("value IS NULL").groupBy("class", "term").agg(F.max("part").alias("part"))
     passes = max(1, -(-terms.count() // TERMS_AT_ONCE))
-    out = docs
+    holding = found.where("term IS NULL AND value IS NOT NULL").select("class", "value", "text")
+    removed = F.max(F.col("part") >= REMOVE)
+    own = holding.join(every.where("value IS NOT NULL"), ["class", "value"]).groupBy("text", "term").agg(removed.alias("gone")).groupBy(F.col("text").alias("__pii_key")).agg(F.map_from_entries(F.collect_list(F.struct("term", "gone"))).alias("__pii_own"))
+    own = materialize(own, "pii-own")
+    out = docs.withColumn(text_col, F.make_valid_utf8(F.col(f"`{text_col}`").cast("string")))
+    out = out.withColumn("__pii_key", F.xxhash64(F.col(f"`{text_col}`"))).join(F.broadcast(own) if own.count() <= TEXT_ROWS else own, "__pii_key", "left").select(*[F.col(f"`{c}`") for c in docs.columns], "__pii_own")
     for k in range(passes):
         chosen: dict[str, dict[str, bool]] = {}
         for r in terms.where(F.pmod(F.xxhash64("class", "term"), F.lit(passes)) == k).collect():
@@ -208,7 +237,7 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
 
 def _pass(docs: DataFrame, text_col: str, length_col: str | None, chosen: dict[str, dict[str, bool]], first: bool) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(chosen)
-    names = docs.columns if first else docs.columns[:-2]
+    names = docs.columns[:-1] if first else docs.columns[:-2]
     at = names.index(text_col)
     long_at = names.index(length_col) if length_col in names else None
 
@@ -223,7 +252,7 @@ def _pass(docs: DataFrame, text_col: str, length_col: str | None, chosen: dict[s
                 take = np.arange(n)
                 texts = []
                 for j, i in enumerate(hits.tolist()):
-                    text, e, t = _rewrite(column[i].as_py(), shared.value, first)
+                    text, e, t = _rewrite(column[i].as_py(), shared.value, first, dict(batch.column(len(names))[i].as_py() or []) if first else None)
                     found[0, i] += e
                     found[1, i] += t
                     texts.append(text)
@@ -236,9 +265,8 @@ def _pass(docs: DataFrame, text_col: str, length_col: str | None, chosen: dict[s
                     columns[long_at] = pc.if_else(pa.array(changed), pc.utf8_length(columns[at]).cast(kind), columns[long_at])
             yield pa.RecordBatch.from_arrays([*columns, pa.array(found[0]), pa.array(found[1])], [*names, "pii_entities", "pii_terms"])
 
-    clean = docs.withColumn(text_col, F.make_valid_utf8(F.col(f"`{text_col}`").cast("string"))) if first else docs
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in clean.schema.fields[: len(names)])
-    return clean.mapInArrow(tidy(run), f"{fields}, pii_entities int, pii_terms int")
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields[: len(names)])
+    return docs.mapInArrow(tidy(run), f"{fields}, pii_entities int, pii_terms int")
 
 
 def op6_pii_sanitisation(spark: SparkSession, sf_dir: str) -> DataFrame:

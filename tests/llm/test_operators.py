@@ -257,6 +257,20 @@ def test_pii_terms_and_odd_rows(spark):
     assert pii.sanitise(docs(spark, [])).count() == 0
 
 
+def test_pii_terms_of_one_entity(spark):
+    own = [(i, f"note {i} from Zebulon at one@mail.example.com about w{i} things") for i in range(4)]
+    copies = [(10 + i, "letter by Quentin at two@mail.example.com about things") for i in range(3)]
+    other = [(20 + i, f"note {i} from someone at p{i}@mail.example.com about things") for i in range(3)]
+    clean = [(100 + i, f"note {i} from someone at home about w{i} things by letter") for i in range(40)]
+    for limit in (pii.TEXT_ROWS, 0):
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(pii, "TEXT_ROWS", limit)
+            got = {r["doc_id"]: r["text"] for r in pii.sanitise(docs(spark, own + copies + other + clean)).collect()}
+        assert all("Zebulon" not in got[i] and "note" in got[i] and "<EMAIL>" in got[i] for i, _ in own)
+        assert all("Quentin" in got[i] for i, _ in copies)
+        assert all(got[i] == t for i, t in clean) and all("someone" in got[i] for i, _ in other)
+
+
 # -- 7
 
 
