@@ -1,8 +1,11 @@
 """Operator 10: licence scans by conditional compression.
 
 A line with a licence keyword opens a candidate block, which takes in nearby keyword
-lines; a long line counts as one line for each of its sentences. A block is compressed alone and with each template as a zstandard raw-content
-dictionary; the bytes a template saves rank the templates. Those that save a fair part
+lines; a long line counts as one line for each of its sentences. For each template a block
+reaches as many words further, to both sides, as the template and its allowed edits have,
+since wordings go on past their last keyword. The block and that stretch are compressed
+alone and with the template as a zstandard raw-content dictionary; the bytes it saves, of
+the one or the other, rank the templates. Those that save a fair part
 of what the template itself takes are confirmed in that order by wording: the least
 word-level edit distance between the template and any stretch of the block must be
 within a tenth of the template's words. A confirmed stretch is spent, so a block can
@@ -12,6 +15,7 @@ hold several licences and a notice within a longer one is not reported twice.
 from __future__ import annotations
 
 import difflib
+import math
 import re
 from collections.abc import Mapping
 
@@ -29,8 +33,8 @@ JOIN_LINES = 8
 """Keyword lines at most this far apart make one block."""
 LONG_LINE = 240
 """Characters over which a line is cut into sentences."""
-MARGIN = 3
-"""Lines before and after that belong to the block."""
+SMALLEST_REACH = 16
+"""Reaches are rounded up to this times a power of two, so that templates share what is compressed alone."""
 SAVED = 0.2
 """A candidate must save this part of the template's own compressed size, ..."""
 OVERHEAD = 9
@@ -49,20 +53,22 @@ def words_of(text: str) -> list[str]:
     return [w.lower() for w in _WORD.findall(text)]
 
 
-def blocks_of(text: str) -> list[str]:
-    """The candidate blocks of a text, in order."""
+def blocks_of(text: str) -> tuple[list[str], list[tuple[int, int]]]:
+    """(words, candidate blocks) of a text; a block is a range of words, from its first keyword line to its last."""
     lines = [part for x in text.splitlines() for part in ([x] if len(x) <= LONG_LINE else _SENTENCE.split(x))]
-    hits = [i for i, x in enumerate(lines) if _LINE.search(x)]
+    words: list[str] = []
     out: list[list[int]] = []
-    for i in hits:
-        if out and i - out[-1][1] <= JOIN_LINES:
-            out[-1][1] = i
-        else:
-            out.append([i, i])
-    ends = [b for _, b in out]
-    starts = [a for a, _ in out]
-    spans = [(max(a - MARGIN, (ends[k - 1] + 1) if k else 0), min(b + MARGIN + 1, starts[k + 1] if k + 1 < len(out) else len(lines))) for k, (a, b) in enumerate(out)]
-    return ["\n".join(lines[a:b]) for a, b in spans]
+    last = 0
+    for i, x in enumerate(lines):
+        start = len(words)
+        words += words_of(x)
+        if _LINE.search(x):
+            if out and i - last <= JOIN_LINES:
+                out[-1][1] = len(words)
+            else:
+                out.append([start, len(words)])
+            last = i
+    return words, [(a, b) for a, b in out]
 
 
 def nearest_stretch(template: np.ndarray, block: np.ndarray) -> tuple[int, int, int]:
@@ -97,36 +103,51 @@ class Scanner:
             words = words_of(text)
             data = " ".join(words).encode()
             d = zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            self.templates.append((name, words, len(self.plain.compress(data)) - self.empty, zstandard.ZstdCompressor(level=LEVEL, dict_data=d, **options)))
-
-    def ranked(self, words: list[str]) -> list[tuple[int, float, str, list[str]]]:
-        """(bytes saved, share of the template's size, name, words), the best first."""
-        data = " ".join(words).encode()
-        alone = len(self.plain.compress(data))
+            need = len(words) + int(TOLERANCE * len(words))
+            reach = SMALLEST_REACH
+            while reach < need:
+                reach *= 2
+            self.templates.append((name, words, reach, len(self.plain.compress(data)) - self.empty, zstandard.ZstdCompressor(level=LEVEL, dict_data=d, **options)))
+
+    def ranked(self, words: list[str], a: int, b: int) -> list[tuple[int, float, str, list[str], int]]:
+        """(bytes saved, share of the template's size, name, words, reach), the best first, for the block from ``a`` to ``b``."""
+        alone: dict[tuple[int, int], tuple[bytes, int]] = {}
         out = []
-        for name, template, own, with_it in self.templates:
-            saved = alone - len(with_it.compress(data))
+        for name, template, reach, own, with_it in self.templates:
+            saved: float = -math.inf
+            for span in ((a, b), (max(0, a - reach), min(len(words), b + reach))):
+                if span not in alone:
+                    data = " ".join(words[span[0] : span[1]]).encode()
+                    alone[span] = data, len(self.plain.compress(data))
+                data, size = alone[span]
+                # no template saves more than there is
+                if size - self.empty >= SAVED * own - OVERHEAD:
+                    saved = max(saved, size - len(with_it.compress(data)))
             if saved >= SAVED * own - OVERHEAD:
-                out.append((saved, saved / own, name, template))
+                out.append((saved, saved / own, name, template, reach))
         return sorted(out, key=lambda x: (-x[0], -x[1], x[2]))
 
-    def confirm(self, words: list[str]) -> list[tuple]:
-        """Licences of one block: (name, saved bytes, share, edits, template words, differences)."""
+    def confirm(self, words: list[str], blocks: list[tuple[int, int]]) -> list[tuple]:
+        """Licences of a text: (block, name, saved bytes, share, edits, template words, differences)."""
         found = []
-        candidates = self.ranked(words)
         codes: dict[str, int] = {}
-        block = np.array([codes.setdefault(w, len(codes)) for w in words], np.int64)
-        for saved, share, name, template in candidates:
-            target = np.array([codes.get(w, -2) for w in template], np.int64)
-            allowed = int(TOLERANCE * len(template))
-            while len(block):
-                edits, a, b = nearest_stretch(target, block)
-                if edits > allowed:
+        every = np.array([codes.setdefault(w, len(codes)) for w in words], np.int64)
+        for k, (first, last) in enumerate(blocks):
+            for saved, share, name, template, reach in self.ranked(words, first, last):
+                target = np.array([codes.get(w, -2) for w in template], np.int64)
+                allowed = int(TOLERANCE * len(template))
+                start = max(0, first - reach)
+                block = every[start : last + reach]
+                while len(block):
+                    edits, a, b = nearest_stretch(target, block)
+                    if edits > allowed:
+                        break
+                    there = [words[start + i] if block[i] >= 0 else "" for i in range(a, b)]
+                    # a stretch met from an earlier block counts for the one it lies in
+                    home = next((j for j in range(k, len(blocks)) if blocks[j][1] > start + a and blocks[j][0] < start + b), k)
+                    found.append((home, name, saved, share, edits, len(template), differences(template, there)))
+                    block[a:b] = -1
                     break
-                there = [words[i] if block[i] >= 0 else "" for i in range(a, b)]
-                found.append((name, saved, share, edits, len(template), differences(template, there)))
-                block[a:b] = -1
-                break
         return found
 
 
@@ -163,9 +184,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
         ids, texts = batch.column(0).filter(hit).to_pylist(), batch.column(1).filter(hit)
         rows = []
         for i, text in zip(ids, texts, strict=True):
-            for k, block in enumerate(blocks_of(text.as_py())):
-                for name, saved, share, edits, n, diff in scanner.confirm(words_of(block)):
-                    rows.append((i, k, name, saved, round(share, 4), edits, n, edits == 0, diff))
+            for k, name, saved, share, edits, n, diff in scanner.confirm(*blocks_of(text.as_py())):
+                rows.append((i, k, name, saved, round(share, 4), edits, n, edits == 0, diff))
         if rows:
             kinds = [pa.int64(), pa.int32(), pa.string(), pa.int32(), pa.float64(), pa.int32(), pa.int32(), pa.bool_(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], [f.split()[0] for f in SCHEMA.split(", ")])

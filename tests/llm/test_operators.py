@@ -1,6 +1,7 @@
 import base64
 import itertools
 import random
+import textwrap
 
 import numpy as np
 import pyarrow as pa
@@ -402,6 +403,17 @@ def test_every_license_is_found(spark):
     assert all(any(r["license"] == names[i] and r["exact"] for r in got if r["doc_id"] == i) for i in range(len(names)))
 
 
+@pytest.mark.parametrize("width", [60, 72, 80])
+@pytest.mark.parametrize("mark", ["", " * "])
+def test_wrapped_licenses_are_found(width, mark):
+    scanner = licenses.Scanner(TEMPLATES)
+    for name, text in TEMPLATES.items():
+        lines = textwrap.wrap(" ".join(text.split()), width, break_on_hyphens=False, break_long_words=False)
+        whole = "\n".join(mark + x for x in ["some words first", "", *lines, "", "int main() { return 0; }"])
+        got = scanner.confirm(*licenses.blocks_of(whole))
+        assert any(r[1] == name and r[4] == 0 for r in got), name
+
+
 def test_license_differences(spark):
     text = TEMPLATES["mit"].replace("free of charge", "without charge")
     row = licenses.scan(docs(spark, [(1, text), (1, text), (2, "a licence to krill")])).collect()
