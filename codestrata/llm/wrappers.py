@@ -29,8 +29,6 @@ from ..plans.shared import materialize, maybe_broadcast
 from ._frames import batched, table, tidy, tidy_group
 
 TEXT = "#"
-PERIOD = 48
-"""Longest stretch, in tokens, that is looked for as a repeated group."""
 PARTS = 16
 """Parts that a host's structures are folded in before the parts are."""
 WRAPPER_ROWS = 20_000
@@ -65,7 +63,7 @@ def fold_repeats(keys: list[str]) -> list:
     """A stream with adjacent equal stretches as repeated groups.
 
     Items are ``[key, positions]`` or ``["*", body, count]``; the shortest period wins, from the left,
-    and what is left is folded again, so groups nest.
+    and what is left is folded again, so groups nest. Periods of any length are looked for, up to half of the stream.
     """
     items: list = [[k, [i]] for i, k in enumerate(keys)]
     names = list(keys)
@@ -73,9 +71,10 @@ def fold_repeats(keys: list[str]) -> list:
         changed = False
         code: dict[str, int] = {}
         ids = np.array([code.setdefault(n, len(code)) for n in names])
-        for period in range(1, min(PERIOD, len(ids) // 2) + 1):
+        for period in range(1, len(ids) // 2 + 1):
             same = ids[:-period] == ids[period:]
-            if not same.any():
+            # a run of ``period`` equal places covers a multiple of it
+            if not same[period - 1 :: period].any():
                 continue
             edges = np.flatnonzero(np.diff(np.concatenate(([0], same.view(np.int8), [0]))))
             runs = [(a, b) for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True) if b - a >= period and (period > 1 or names[a][0] == "*" or names[a] == TEXT)]

@@ -192,6 +192,23 @@ def test_fold_repeats():
     assert wrappers.shape(wrappers.fold_repeats([])) == []
 
 
+def test_long_records_are_repeated_groups(spark):
+    def record(k):
+        return "<div class='card'>" + "".join(f"<p class='c{j}'>v{k}-{j}</p>" for j in range(20)) + "</div>"
+
+    assert len(wrappers.tokens(record(0))) > 60
+    rows = [(n, f"http://h/{n}", "<html><h1>x</h1>" + "".join(record(10 * n + k) for k in range(n)) + "</html>") for n in (2, 3)]
+    keys = {n: wrappers.shape(wrappers.fold_repeats([k for k, _ in wrappers.tokens(html)])) for n, _, html in rows}
+    assert keys[2] == keys[3] and keys[2][-2][0] == "*"
+    got = wrappers.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()
+    slots = {}
+    for r in got:
+        for f in r["fields"]:
+            if f["text"].startswith("v"):
+                slots.setdefault(f["text"].split("-")[1], set()).add(f["slot"])
+    assert len(slots) == 20 and all(len(s) == 1 and min(s) >= 0 for s in slots.values())
+
+
 # -- 5
 
 
