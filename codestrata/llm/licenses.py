@@ -147,7 +147,6 @@ class Scanner:
                     home = next((j for j in range(k, len(blocks)) if blocks[j][1] > start + a and blocks[j][0] < start + b), k)
                     found.append((home, name, saved, share, edits, len(template), differences(template, there)))
                     block[a:b] = -1
-                    break
         return found
 
 
@@ -167,8 +166,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
     """One row for each licence confirmed in a block of a text.
 
     (doc_id, block, license, saved_bytes, saved_share, word_edits, template_words, exact,
-    differences); ``block`` counts from 0 within a text. A template is reported once for
-    each block. Null, blank and keyword-free texts give no rows; repeated rows give
+    differences); ``block`` counts from 0 within a text. A template is reported for
+    each stretch of a block that is near enough. Null, blank and keyword-free texts give no rows; repeated rows give
     their rows again; a null id stays null; templates that save equally much are tried by
     share, then by name. Other columns are not read. No shuffle; the keyword test runs on
     whole Arrow columns, and only texts that pass it are looked at one by one.

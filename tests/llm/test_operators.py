@@ -431,6 +431,13 @@ def test_wrapped_licenses_are_found(width, mark):
         assert any(r[1] == name and r[4] == 0 for r in got), name
 
 
+def test_second_notice_in_a_block():
+    text = TEMPLATES["mit"]
+    both = text + "\n\nsome other part\n\n" + text.replace("free of charge", "without charge")
+    got = licenses.Scanner(TEMPLATES).confirm(*licenses.blocks_of(both))
+    assert [(r[0], r[1], r[4]) for r in got] == [(0, "mit", 0), (0, "mit", 2)]
+
+
 def test_license_differences(spark):
     text = TEMPLATES["mit"].replace("free of charge", "without charge")
     row = licenses.scan(docs(spark, [(1, text), (1, text), (2, "a licence to krill")])).collect()
