@@ -9,11 +9,15 @@ hold an entity of the class, terms are removed or replaced by a general one as t
 exceeds thresholds. The same is done with every single entity in place of a class, so that
 a name which only ever stands beside one address goes where that address is. Documents
 without entities are not touched.
+
+A term is generalised to the kind of word it is: a name, a number, a code or a plain term.
 """
 
 from __future__ import annotations
 
 import re
+import sys
+import unicodedata
 from bisect import bisect_left, bisect_right
 from hashlib import blake2b
 
@@ -38,12 +42,12 @@ GENERALISE = 0.8
 REMOVE = 0.95
 """Parts of a class's or an entity's information from which a term is generalised, or removed."""
 TERMS_AT_ONCE = 200_000
-"""Disclosing terms that one pass takes along; more are applied in further passes."""
+"""Disclosing terms of classes that may be broadcast, checked by a count; more are joined to the words of the texts that hold entities."""
 TEXT_ROWS = 20_000
 """Texts whose own terms may be broadcast; checked by a count."""
-GENERAL = "<TERM>"
+GENERAL = {"name": "<NAME>", "number": "<NUMBER>", "code": "<CODE>", "term": "<TERM>"}
+"""What a term of each kind is generalised to; see ``kind_of``."""
 
-CANDIDATE = r"@|\d{1,3}\.\d{1,3}\.\d{1,3}\.\d|\d(?:[^\da-zA-Z]{0,3}\d){6}|[0-9a-fA-F]{32}|(?:[0-9a-fA-F]{1,4}:){7}|(?i:token|secret|api[_-]?key|passw|pwd|access[_-]?key)[^\n]{0,8}[:=]|AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{20}|sk-[A-Za-z0-9_-]{20}|[A-Z]{2}\d{2} ?[A-Z0-9]{4}"
 _RULES = (
     ("SECRET", r"(?i:\b(?:\w{0,32}token|\w{0,32}secret|api[_-]?key|password|passwd|pwd|access[_-]?key)\b[\"']?\s{0,8}[:=]\s{0,8}[\"']?)(?P<SECRET>[^\s\"']{8,})"),
     ("SECRET", r"(?P<SECRET2>\bAKIA[0-9A-Z]{16}\b|\bgh[pousr]_[A-Za-z0-9]{20,}|\bsk-[A-Za-z0-9_-]{20,}|(?<![0-9a-zA-Z])(?=[a-f]{0,64}[0-9])[0-9a-f]{32,}(?![0-9a-zA-Z]))"),
@@ -55,6 +59,34 @@ _RULES = (
 )
 CLASSES = ("EMAIL", "SECRET", "IBAN", "CARD", "SSN", "IP", "PHONE")
 _FORM = re.compile("|".join(r for _, r in _RULES))
+
+
+def _candidate() -> str:
+    """What a text needs for any rule to match, in the syntax of Arrow's regular expressions.
+
+    Each part is a stretch that its rule can't match without, or less. The rules' ``\\d`` takes
+    digits of all scripts, the parts only ASCII ones, so any other digit makes a candidate;
+    and ``i`` also stands for its dotted and dotless kin, which the rules take for it too.
+    """
+    other = [c for c in range(128, sys.maxunicode + 1) if unicodedata.category(chr(c)) == "Nd"]
+    runs = [c for c in other if c - 1 not in other]
+    ends = [c for c in other if c + 1 not in other]
+    digits = "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in zip(runs, ends, strict=True))
+    parts = (
+        "@",
+        f"[{digits}]",
+        "(?i:token|secret|ap[iıİ][_-]?key|passw|pwd|access[_-]?key)",
+        "AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{20}|sk-[A-Za-z0-9_-]{20}|[0-9a-f]{32}",
+        "[A-Z]{2}[0-9]{2} ?[A-Z0-9]{4}",
+        "[0-9]{13}|[0-9]{4}[ -][0-9]{4}",
+        "[0-9]{3}-[0-9]{2}-[0-9]{4}",
+        r"[0-9]\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]|(?:[0-9a-fA-F]{1,4}:){7}",
+        r"\+[0-9]{1,3}[ .-]?[(0-9]|\([0-9]{3}\)[ .-]?[0-9]{3}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}",
+    )
+    return "|".join(parts)
+
+
+CANDIDATE = _candidate()
 _LOCAL = re.compile(r"[\w.%+-]")
 _DOMAIN = re.compile(r"[\w-]+(?:\.[\w-]+)+")
 _WORD = re.compile(r"(?:[A-Za-z0-9]|[^\x00-\x7f])+")
@@ -105,9 +137,19 @@ def _near(text: str, spans: list[tuple[int, int, str]]) -> set[tuple[str, str, s
 
 
 def _hits(column: pa.Array) -> np.ndarray:
+    """Which texts can hold an entity: a superset of those that do."""
     return pc.fill_null(pc.match_substring_regex(column, CANDIDATE), False).to_numpy(zero_copy_only=False)
 
 
+def kind_of(word: str) -> str:
+    """The kind of a word as it stands: number, code (digits among letters), name (a capital first) or term."""
+    if word.isdigit():
+        return "number"
+    if any(c.isdigit() for c in word):
+        return "code"
+    return "name" if word[:1].isupper() else "term"
+
+
 def _value(text: str) -> int:
     return int.from_bytes(blake2b(text.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
 
@@ -170,31 +212,26 @@ def disclosure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return joined.select("class", "value", "term", "near", "df", part.alias("part"))
 
 
-def _rewrite(text: str, terms: dict[str, dict[str, bool]], mask: bool, own: dict[str, bool] | None = None) -> tuple[str, int, int]:
+def _rewrite(text: str, terms: dict[str, dict[str, bool]], own: dict[str, bool] | None = None) -> tuple[str, int, int]:
     """(sanitised text, entities, terms). ``terms``: class -> term -> whether it is removed; ``own``: those of the text's entities."""
-    spans = entities(text) if mask else [(m.start(), m.end(), m.group()[1:-1]) for m in re.finditer("<(?:" + "|".join(CLASSES) + ")>", text)]
+    spans = entities(text)
     if not spans:
         return text, 0, 0
-    active = dict(own or {})
-    for kind in {k for _, _, k in spans}:
-        for term, gone in terms.get(kind, {}).items():
-            active[term] = active.get(term, False) or gone
+    active = [own or {}, *(terms[k] for k in {k for _, _, k in spans} if k in terms)]
     out, at, n_terms = [], 0, 0
 
     def plain(piece: str) -> str:
         nonlocal n_terms
-        if not active or not piece:
-            return piece
         parts, pos = [], 0
         for m in _WORD.finditer(piece):
-            gone = active.get(m.group().lower())
-            if gone is None:
+            said = [a[w] for w in (m.group().lower(),) for a in active if w in a]
+            if not said:
                 continue
             n_terms += 1
             parts.append(piece[pos : m.start()])
             pos = m.end()
-            if not gone:
-                parts.append(GENERAL)
+            if not any(said):
+                parts.append(GENERAL[kind_of(m.group())])
             elif piece[pos : pos + 1] == " ":
                 pos += 1
         return "".join([*parts, piece[pos:]])
@@ -202,7 +239,21 @@ def _rewrite(text: str, terms: dict[str, dict[str, bool]], mask: bool, own: dict
     for a, b, kind in spans:
         out += [plain(text[at:a]), f"<{kind}>"]
         at = b
-    return "".join([*out, plain(text[at:])]), len(spans) if mask else 0, n_terms
+    return "".join([*out, plain(text[at:])]), len(spans), n_terms
+
+
+def _holding_words(batches):
+    """(class, term, text): the distinct words of each text that holds an entity of the class."""
+    for batch in batches:
+        rows = set()
+        for i in np.flatnonzero(_hits(batch.column(1))).tolist():
+            text, key = batch.column(1)[i].as_py(), batch.column(2)[i].as_py()
+            kinds = {k for _, _, k in entities(text)}
+            if kinds:
+                words = {m.group().lower() for m in _WORD.finditer(text)}
+                rows |= {(kind, w, key) for kind in kinds for w in words}
+        got = sorted(rows)
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in got], t) for k, t in enumerate((pa.string(), pa.string(), pa.int64()))], ["class", "term", "text"])
 
 
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = None) -> DataFrame:
@@ -210,59 +261,63 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
 
     All columns are kept, in order; ``length_col`` is set to the new text's characters
     where it is a column. Existing columns named ``pii_entities`` or ``pii_terms`` are
-    replaced. Null texts stay null with counts 0; empty texts, texts without entities and
-    repeated rows come out as they went in, each once. Texts are scanned whole. Only counts
-    are shuffled, and the terms of classes are broadcast in bounded parts. The terms of
-    single entities are joined to the texts that hold them: by broadcast if ``TEXT_ROWS``
-    or fewer texts have any, else texts are shuffled.
+    replaced; names beginning with ``__pii`` are reserved here. Null texts stay null with
+    counts 0; empty texts, texts without entities and repeated rows come out as they went
+    in, each once. Texts are scanned whole; the test that comes before the rules lets
+    every text pass that a rule can match. A placeholder such as ``<EMAIL>`` that a text
+    already has is a word like others. A term at a threshold exactly counts as beyond it;
+    one that is generalised by one class or entity and removed by another is removed.
+
+    Only counts are shuffled, and the terms of classes are broadcast, if they are
+    ``TERMS_AT_ONCE`` or fewer; more are joined to the words of the texts that hold
+    entities, with the same result. The terms of single entities are joined to the texts
+    that hold them: by broadcast if ``TEXT_ROWS`` or fewer texts have any, else texts are
+    shuffled.
     """
     docs = docs.drop("pii_entities", "pii_terms")
     found = contexts(docs, id_col, text_col)
     every = materialize(disclosure(docs, id_col, text_col, found).where(F.col("part") >= GENERALISE), "pii-terms")
     terms = every.where("value IS NULL").groupBy("class", "term").agg(F.max("part").alias("part"))
-    passes = max(1, -(-terms.count() // TERMS_AT_ONCE))
+    n_terms = terms.count()
     holding = found.where("term IS NULL AND value IS NOT NULL").select("class", "value", "text")
-    removed = F.max(F.col("part") >= REMOVE)
-    own = holding.join(every.where("value IS NOT NULL"), ["class", "value"]).groupBy("text", "term").agg(removed.alias("gone")).groupBy(F.col("text").alias("__pii_key")).agg(F.map_from_entries(F.collect_list(F.struct("term", "gone"))).alias("__pii_own"))
+    own = holding.join(every.where("value IS NOT NULL"), ["class", "value"]).select("text", "term", "part")
+    chosen: dict[str, dict[str, bool]] = {}
+    if n_terms <= TERMS_AT_ONCE:
+        for r in terms.collect():
+            chosen.setdefault(r["class"], {})[r["term"]] = r["part"] >= REMOVE
+    else:
+        words = id_text(docs, id_col, text_col).withColumn("key", F.xxhash64("text")).mapInArrow(tidy(_holding_words), "class string, term string, text bigint")
+        own = own.union(words.join(terms, ["class", "term"]).select("text", "term", "part"))
+    own = own.groupBy("text", "term").agg((F.max("part") >= REMOVE).alias("gone")).groupBy(F.col("text").alias("__pii_key")).agg(F.map_from_entries(F.collect_list(F.struct("term", "gone"))).alias("__pii_own"))
     own = materialize(own, "pii-own")
     out = docs.withColumn(text_col, F.make_valid_utf8(F.col(f"`{text_col}`").cast("string")))
     out = out.withColumn("__pii_key", F.xxhash64(F.col(f"`{text_col}`"))).join(F.broadcast(own) if own.count() <= TEXT_ROWS else own, "__pii_key", "left").select(*[F.col(f"`{c}`") for c in docs.columns], "__pii_own")
-    for k in range(passes):
-        chosen: dict[str, dict[str, bool]] = {}
-        for r in terms.where(F.pmod(F.xxhash64("class", "term"), F.lit(passes)) == k).collect():
-            chosen.setdefault(r["class"], {})[r["term"]] = r["part"] >= REMOVE
-        out = _pass(out, text_col, length_col, chosen, k == 0)
-    return out
+    return _apply(out, docs.columns, text_col, length_col, chosen)
 
 
-def _pass(docs: DataFrame, text_col: str, length_col: str | None, chosen: dict[str, dict[str, bool]], first: bool) -> DataFrame:
+def _apply(docs: DataFrame, names: list[str], text_col: str, length_col: str | None, chosen: dict[str, dict[str, bool]]) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(chosen)
-    names = docs.columns[:-1] if first else docs.columns[:-2]
     at = names.index(text_col)
     long_at = names.index(length_col) if length_col in names else None
 
     def run(batches):
         for batch in batches:
             n = batch.num_rows
-            found = np.zeros((2, n), np.int32) if first else np.stack([batch.column(len(names) + k).to_numpy() for k in (0, 1)]).copy()
+            found = np.zeros((2, n), np.int32)
             column = batch.column(at)
-            hits = np.flatnonzero(_hits(column)) if first else np.flatnonzero(found[0])
+            hits = np.flatnonzero(_hits(column))
             columns = list(batch.columns[: len(names)])
             if len(hits):
                 take = np.arange(n)
                 texts = []
                 for j, i in enumerate(hits.tolist()):
-                    text, e, t = _rewrite(column[i].as_py(), shared.value, first, dict(batch.column(len(names))[i].as_py() or []) if first else None)
-                    found[0, i] += e
-                    found[1, i] += t
+                    text, found[0, i], found[1, i] = _rewrite(column[i].as_py(), shared.value, dict(batch.column(len(names))[i].as_py() or []))
                     texts.append(text)
                     take[i] = n + j
                 columns[at] = pa.concat_arrays([column, pa.array(texts, column.type)]).take(pa.array(take))
                 if long_at is not None:
-                    kind = columns[long_at].type
-                    changed = np.zeros(n, bool)
-                    changed[hits] = found[:, hits].sum(axis=0) > 0
-                    columns[long_at] = pc.if_else(pa.array(changed), pc.utf8_length(columns[at]).cast(kind), columns[long_at])
+                    changed = found.sum(axis=0) > 0
+                    columns[long_at] = pc.if_else(pa.array(changed), pc.utf8_length(columns[at]).cast(columns[long_at].type), columns[long_at])
             yield pa.RecordBatch.from_arrays([*columns, pa.array(found[0]), pa.array(found[1])], [*names, "pii_entities", "pii_terms"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields[: len(names)])
