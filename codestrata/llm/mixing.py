@@ -8,7 +8,8 @@ the prefix of the key order whose running token sum fits the remainder follows.
 The order is never sorted as a whole. Keys are cut into slices of fixed width, whose
 token sums are small; their running sum tells for every source the one slice in which
 the budget ends. Documents of earlier slices are taken, those of later ones are not, and
-only the slice between is sorted. Documents are scanned twice and not shuffled.
+only the slice between is sorted. Documents are read three times, for the sums, for the
+slice between and for the result, and not shuffled.
 """
 
 from __future__ import annotations
@@ -26,13 +27,12 @@ TEMPERATURE = 0.7
 """Default targets: a source's share of all tokens to this power, normalised."""
 SIZE = 1.0
 """Default total: this many times the tokens there are."""
-SLICES = 16384
-"""Key slices for each unit of key."""
-TOP_KEY = 64.0
-"""Keys from here on share one slice."""
+SLICES = 131_072
+"""Key slices for each unit of ``log(1 + key)``: 13,000 a unit of key where keys are 9, at most 870,000 in all."""
 SPAN = 1 << 52
 MARKS = "0123456789|#*{}<>=_~\\/^@$%&+[]"
 NO_SOURCE = "(none)"
+EPOCH = "__epoch"
 
 
 def tokens_of(text: Column) -> Column:
@@ -54,8 +54,8 @@ def sample_key(id_: Column, weight: Column, seed: int) -> Column:
     return -F.log(u) / weight
 
 
-def mix(docs: DataFrame, targets: Mapping[str, float] | None = None, total: int | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weight_col: str | None = None, seed: int = SEED) -> DataFrame:
-    """The chosen rows of ``docs`` with all their columns and ``__epoch``, once for each epoch.
+def mix(docs: DataFrame, targets: Mapping[str, float] | None = None, total: int | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weight_col: str | None = None, seed: int = SEED, epoch_col: str = EPOCH) -> DataFrame:
+    """The chosen rows of ``docs`` with all their columns and ``epoch_col``, once for each epoch.
 
     ``targets``: source -> weight, normalised over the sources there are; a source that
     it does not name gets nothing, and none given means tempered shares. ``total``: the
@@ -67,30 +67,30 @@ def mix(docs: DataFrame, targets: Mapping[str, float] | None = None, total: int
     together and are all left out where they don't all fit. A null source is the source
     ``(none)``; a null id draws as the empty string and sorts first. Null and empty texts
     cost no tokens. A source without tokens keeps its rows for one epoch if it has a
-    budget. Extra columns are carried along; names beginning with ``__mix`` are reserved
-    here. An empty table gives an empty result.
+    budget. Extra columns are carried along; names beginning with ``__mix_`` are reserved
+    here, and an incoming column named like ``epoch_col`` is replaced. An empty table gives an empty result.
     """
     weight = quality_of(col(docs, text_col)) if weight_col is None else F.greatest(F.lit(0.05), F.coalesce(col(docs, weight_col).cast("double"), F.lit(0.05)))
     key = sample_key(col(docs, id_col), weight, seed)
     keyed = docs.select("*", F.coalesce(col(docs, source_col).cast("string"), F.lit(NO_SOURCE)).alias("__mix_source"), tokens_of(col(docs, text_col)).alias("__mix_tokens"), key.alias("__mix_key"))
-    keyed = keyed.withColumn("__mix_slice", F.floor(F.least(F.col("__mix_key"), F.lit(TOP_KEY)) * SLICES).cast("int"))
+    keyed = keyed.withColumn("__mix_slice", F.floor(F.log1p("__mix_key") * SLICES).cast("int"))
     sums = materialize(keyed.groupBy("__mix_source", "__mix_slice").agg(F.sum("__mix_tokens").alias("t")), "mix-slices")
     source = materialize(plan(sums, targets, total), "mix-plan")
     n_sources = source.count()
     rows = keyed.join(maybe_broadcast(source, n_sources, MAX_SAFE_ROWS // 10), "__mix_source")
-    inside = F.col("__mix_slice") < F.col("cut")
-    at_cut = rows.where(F.col("__mix_slice") == F.col("cut")).select("__mix_source", "__mix_key", F.col(f"`{id_col}`").alias("__mix_id"), "__mix_tokens", "room")
+    here = F.struct("__mix_key", F.col(f"`{id_col}`").alias("__mix_id"), "__mix_tokens")
+    inside = F.col("__mix_slice") < F.col("__mix_cut")
+    at_cut = rows.where(F.col("__mix_slice") == F.col("__mix_cut")).select("__mix_source", here.alias("__mix_here"), "__mix_tokens", "__mix_room")
     # a cut slice holds few rows; the order by several columns needs dense ranks for a range frame
-    ranked = at_cut.withColumn("r", F.dense_rank().over(Window.partitionBy("__mix_source").orderBy("__mix_key", "__mix_id", "__mix_tokens")))
-    order = Window.partitionBy("__mix_source").orderBy("r").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    taken = ranked.withColumn("run", F.sum("__mix_tokens").over(order)).where("run <= room")
-    last = materialize(taken.groupBy("__mix_source").agg(F.max("r").alias("r"), F.max(F.struct("__mix_key", "__mix_id", "__mix_tokens")).alias("last")).select("__mix_source", "last"), "mix-last")
+    ranked = at_cut.withColumn("__mix_rank", F.dense_rank().over(Window.partitionBy("__mix_source").orderBy("__mix_here")))
+    order = Window.partitionBy("__mix_source").orderBy("__mix_rank").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    taken = ranked.withColumn("__mix_run", F.sum("__mix_tokens").over(order)).where("__mix_run <= __mix_room")
+    last = materialize(taken.groupBy("__mix_source").agg(F.max("__mix_here").alias("__mix_last")), "mix-last")
     rows = rows.join(maybe_broadcast(last, n_sources, MAX_SAFE_ROWS // 10), "__mix_source", "left")
-    here = F.struct(F.col("__mix_key"), F.col(f"`{id_col}`").alias("__mix_id"), F.col("__mix_tokens"))
-    extra = (inside | ((F.col("__mix_slice") == F.col("cut")) & F.coalesce(here <= F.col("last"), F.lit(False)))).cast("int")
-    copies = F.col("epochs") + extra
-    out = rows.where(copies > 0).withColumn("__epoch", F.explode(F.sequence(F.lit(1), copies.cast("int"))))
-    return out.select(*[col(docs, c) for c in docs.columns], "__epoch")
+    extra = (inside | ((F.col("__mix_slice") == F.col("__mix_cut")) & F.coalesce(here <= F.col("__mix_last"), F.lit(False)))).cast("int")
+    copies = (F.col("__mix_epochs") + extra).cast("int")
+    out = rows.where(copies > 0).withColumn("__mix_epoch", F.explode(F.sequence(F.lit(1), copies)))
+    return out.select(*[col(docs, c) for c in docs.columns if c != epoch_col], F.col("__mix_epoch").alias(epoch_col))
 
 
 def plan(sums: DataFrame, targets: Mapping[str, float] | None, total: int | None) -> DataFrame:
@@ -112,13 +112,14 @@ def plan(sums: DataFrame, targets: Mapping[str, float] | None, total: int | None
     cut = run.join(per, "__mix_source").groupBy("__mix_source", "epochs", "rest").agg(
         F.min(F.when(F.col("run") > F.col("rest"), F.col("__mix_slice"))).alias("cut"), F.max(F.when(F.col("run") <= F.col("rest"), F.col("run"))).alias("before")
     )
-    return cut.select("__mix_source", "epochs", F.when(F.col("rest") > 0, F.coalesce(F.col("cut"), F.lit(int(TOP_KEY * SLICES) + 1))).otherwise(F.lit(-1)).alias("cut"), (F.col("rest") - F.coalesce(F.col("before"), F.lit(0))).alias("room"))
+    ends = F.when(F.col("rest") > 0, F.coalesce(F.col("cut"), F.lit(2**31 - 1))).otherwise(F.lit(-1))
+    return cut.select("__mix_source", F.col("epochs").alias("__mix_epochs"), ends.alias("__mix_cut"), (F.col("rest") - F.coalesce(F.col("before"), F.lit(0))).alias("__mix_room"))
 
 
 def sampled(docs: DataFrame, **options) -> DataFrame:
     """(doc_id, source, epoch) of the mix."""
     id_col, source_col = options.get("id_col", "doc_id"), options.get("source_col", "source")
-    return mix(docs, **options).select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{source_col}`").alias("source"), F.col("__epoch").alias("epoch"))
+    return mix(docs, **options).select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{source_col}`").alias("source"), F.col(EPOCH).alias("epoch"))
 
 
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
