@@ -21,8 +21,10 @@ from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import _kernels as K
 from ._frames import batched, id_text, table
@@ -33,6 +35,8 @@ LONG = 256
 """Bytes over which a pre-token is merged with a heap."""
 CACHE_WORDS = 400_000
 """Pre-tokens a worker remembers; beyond it the memory starts afresh. Speed only."""
+DECODE_IDS = 1 << 20
+"""Token ids that are decoded at once."""
 SCHEMA = "doc_id bigint, n_tokens int, tokens array<int>, round_trip boolean"
 
 _NONE = np.int32(2**31 - 1)
@@ -314,6 +318,9 @@ class Bpe:
         return np.concatenate([np.zeros(0, np.int32), *(self.merge_long(w) for w in words)])
 
     def decode_flat(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(bytes of all ids, bytes of each)."""
+        if len(ids) and not (0 <= int(ids.min()) and int(ids.max()) < len(self.lengths)):
+            raise ValueError(f"a token id is outside the vocabulary of {len(self.lengths)}")
         lengths = self.lengths[ids]
         return self.blob[K.ragged(self.offsets[ids], lengths)], lengths
 
@@ -347,20 +354,43 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voca
 
 
 def decode(tokens: DataFrame, id_col: str = "doc_id", tokens_col: str = "tokens", vocabulary: str = VOCABULARY) -> DataFrame:
-    """Texts of token ids: (doc_id, text). Null ids give a null text, an empty list an
-    empty one; bytes that are not UTF-8 are replaced. An id outside the vocabulary or a
-    null id in a list is an error."""
-    from pyspark.sql import functions as F
+    """Texts of token ids: (doc_id, text), one row for each input row. Null tokens give a
+    null text, an empty list an empty one; lists of any length are decoded whole. Bytes that
+    are not UTF-8 are replaced. An id outside the vocabulary, a negative one included, or a
+    null in a list is an error. A null id stays null, repeated rows are decoded alike, and
+    other columns are not read. No shuffle: the ids of a batch are decoded together."""
 
     def one(batch: pa.RecordBatch):
         model = Bpe.load(vocabulary)
         lists = batch.column(1)
-        out = [None if x is None else model.decode(x).decode("utf-8", "replace") for x in lists.to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], ["doc_id", "text"])
+        null = lists.is_null().to_numpy(zero_copy_only=False)
+        sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        # lists are decoded together up to a bounded number of ids; a longer one by itself
+        ends = np.cumsum(sizes)
+        start = 0
+        while start < len(sizes):
+            stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + DECODE_IDS, side="right")))
+            flat = lists.slice(start, stop - start).flatten()
+            if flat.null_count:
+                raise ValueError("a list of token ids holds a null")
+            data, lengths = model.decode_flat(flat.to_numpy())
+            bounds = np.concatenate(([0], np.cumsum(lengths)))[np.concatenate(([0], np.cumsum(sizes[start:stop])))]
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, stop - start), _strings(data, bounds, null[start:stop])], ["doc_id", "text"])
+            start = stop
 
     picked = tokens.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.col(f"`{tokens_col}`").cast("array<int>").alias("ids"))
     return picked.mapInArrow(batched(one), "doc_id bigint, text string")
 
 
+def _strings(data: np.ndarray, bounds: np.ndarray, null: np.ndarray) -> pa.Array:
+    """Byte ranges as a column of texts."""
+    raw = pa.Array.from_buffers(pa.large_binary(), len(null), [None, pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(data)])
+    try:
+        out = raw.cast(pa.large_string()).cast(pa.string())
+    except pa.ArrowInvalid:
+        out = pa.array([x.decode("utf-8", "replace") for x in raw.to_pylist()], pa.string())
+    return pc.if_else(pa.array(null), pa.scalar(None, pa.string()), out) if null.any() else out
+
+
 def op1_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(table(spark, sf_dir, "documents"))

@@ -48,7 +48,8 @@ def _by(column: Column, options: list[tuple[str, Column]]) -> Column:
 
 
 def assign(df: DataFrame, key_col: str = "doc_id", topology: Mapping = TOPOLOGY) -> DataFrame:
-    """(key, region, rack, shard) for every row, under the key column's own name.
+    """(key, region, rack, shard) for every row, under the key column's own name, or as
+    ``key`` where the key column is named like a level.
 
     One row for each input row: repeated keys get the same place; a null key is placed
     as the empty string. Children of weight 0 or less get nothing, and where no child is
@@ -62,7 +63,7 @@ def assign(df: DataFrame, key_col: str = "doc_id", topology: Mapping = TOPOLOGY)
     out = out.withColumn("rack", _by(F.col("region"), racks))
     shards = [(f"{r}/{k}", _pick(F.col("__text"), f"{r}/{k}/", leaves)) for r, (w, kids) in sorted(topology.items()) if w > 0 for k, (v, leaves) in sorted(kids.items()) if v > 0]
     out = out.withColumn("shard", _by(F.concat("region", F.lit("/"), "rack"), shards))
-    return out.select(F.col("__key").alias(key_col), *LEVELS)
+    return out.select(F.col("__key").alias("key" if key_col in LEVELS else key_col), *LEVELS)
 
 
 def _sql_pick(prefix: str, children: Mapping) -> str:
