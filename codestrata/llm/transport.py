@@ -182,7 +182,11 @@ def synced(data: np.ndarray) -> np.ndarray:
 
 
 def _tables(rows: np.ndarray, begin: np.ndarray, pids: np.ndarray, starts: np.ndarray, has: np.ndarray) -> dict[int, tuple[int, int]]:
-    """pid -> (program, stream type), from the tables with a right CRC; a later table wins."""
+    """pid -> (program, stream type), from the tables with a right CRC.
+
+    Of several tables of one program a later one wins; a pid that several programs share
+    counts for that of the least number.
+    """
 
     def sections(pid: int):
         at = np.flatnonzero((pids == pid) & has)
@@ -215,7 +219,7 @@ def _tables(rows: np.ndarray, begin: np.ndarray, pids: np.ndarray, starts: np.nd
             number, pid = s[k] << 8 | s[k + 1], (s[k + 2] & 0x1F) << 8 | s[k + 3]
             if number:
                 maps[pid] = number
-    out: dict[int, tuple[int, int]] = {}
+    found: dict[tuple[int, int], int] = {}
     for pid in maps:
         seen = set()
         for s in sections(pid):
@@ -225,9 +229,9 @@ def _tables(rows: np.ndarray, begin: np.ndarray, pids: np.ndarray, starts: np.nd
             number = s[3] << 8 | s[4]
             k = 12 + ((s[10] & 0x0F) << 8 | s[11])
             while k + 5 <= len(s) - 4:
-                out[(s[k + 1] & 0x1F) << 8 | s[k + 2]] = (number, s[k])
+                found[number, (s[k + 1] & 0x1F) << 8 | s[k + 2]] = s[k]
                 k += 5 + ((s[k + 3] & 0x0F) << 8 | s[k + 4])
-    return out
+    return {pid: (number, kind) for (number, pid), kind in sorted(found.items(), reverse=True)}
 
 
 def _time(b: bytes) -> int:
@@ -243,6 +247,7 @@ def units(data: np.ndarray) -> list[tuple]:
     pids = (rows[:, 1].astype(np.int32) & 0x1F) << 8 | rows[:, 2]
     starts = (rows[:, 1] & 0x40) > 0
     control = rows[:, 3] >> 4 & 3
+    hidden = rows[:, 3] >> 6 > 0
     counters = rows[:, 3] & 15
     adapted = (control & 2) > 0
     length = np.where(adapted, rows[:, 4].astype(np.int64), -1)
@@ -263,7 +268,9 @@ def units(data: np.ndarray) -> list[tuple]:
         first = np.flatnonzero(starts[mine] & ~repeat)
         ends = np.append(first[1:], len(mine))[: len(first)]
         for u, (a, b) in enumerate(zip(first.tolist(), ends.tolist(), strict=True)):
-            keep = mine[a:b][~repeat[a:b] & has[mine[a:b]]]
+            if hidden[mine[a]]:
+                continue
+            keep = mine[a:b][~repeat[a:b] & has[mine[a:b]] & ~hidden[mine[a:b]]]
             at, size = begin[keep], PACKET - begin[keep]
             flat = rows[np.repeat(keep, size), K.ragged(at, size)].tobytes()
             if len(flat) < 6 or flat[:3] != b"\0\0\1":
@@ -279,7 +286,7 @@ def units(data: np.ndarray) -> list[tuple]:
                     dts = _time(flat[14:19])
             payload = flat[body : 6 + told] if told else flat[body:]
             gaps = int(lost[a + 1 : b].sum())
-            complete = gaps == 0 and (len(flat) >= 6 + told) and (b < len(mine) and lost[b] == 0 or b == len(mine))
+            complete = gaps == 0 and not hidden[mine[a:b]].any() and (len(flat) >= 6 + told) and (b < len(mine) and lost[b] == 0 or b == len(mine))
             out.append((program, pid, kind, u, sid, pts, dts, bool(flags[mine[a]] & 0x40), len(keep), gaps + (int(lost[a]) if a == first[0] or lost[a] else 0), int(repeat[a:b].sum()), bool(complete), len(payload), payload))
     return out
 
@@ -296,8 +303,9 @@ def parse(media: DataFrame, id_col: str = "media_id", media_col: str = "media")
 
     Null, empty and unsynchronised streams, and those without a readable program table,
     give no rows; bytes out of step and a cut last packet are skipped; payload before a
-    pid's first start is dropped, and so are packets with the error flag. Repeated rows
-    and ids are parsed each; a null id stays null. Other columns are not read. No shuffle.
+    pid's first start is dropped, and so are packets with the error flag. Scrambled packets
+    can't be read: an elementary packet that begins with one gives no row, but counts, and
+    one with any is not complete. Repeated rows and ids are parsed each; a null id stays null. Other columns are not read. No shuffle.
     """
 
     def one(batch: pa.RecordBatch):
