@@ -91,6 +91,21 @@ def nearest_stretch(template: np.ndarray, block: np.ndarray) -> tuple[int, int,
     return int(row[end]), end - int(back.argmin()), end
 
 
+def regions(template: np.ndarray, block: np.ndarray, allowed: int) -> list[tuple[int, int]]:
+    """Ranges of ``block`` that hold every stretch within ``allowed`` edits of ``template``.
+
+    Such a stretch has at most so many words more than the template, and at most so many
+    of the template's are missing; what no window with that many of its words covers is left out.
+    """
+    width = min(len(template) + allowed, len(block))
+    known = np.concatenate(([0], np.cumsum(np.isin(block, template))))
+    good = np.flatnonzero(known[width:] - known[: len(known) - width] >= len(template) - allowed)
+    if not len(good):
+        return []
+    cuts = np.flatnonzero(np.diff(good) > width)
+    return [(int(a), int(b) + width) for a, b in zip(good[np.append(0, cuts + 1)], good[np.append(cuts, len(good) - 1)], strict=True)]
+
+
 class Scanner:
     """Templates with their compressors."""
 
@@ -103,6 +118,7 @@ class Scanner:
             words = words_of(text)
             data = " ".join(words).encode()
             d = zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            d.precompute_compress(level=LEVEL)
             need = len(words) + int(TOLERANCE * len(words))
             reach = SMALLEST_REACH
             while reach < need:
@@ -138,8 +154,9 @@ class Scanner:
                 allowed = int(TOLERANCE * len(template))
                 start = max(0, first - reach)
                 block = every[start : last + reach]
-                while len(block):
-                    edits, a, b = nearest_stretch(target, block)
+                while True:
+                    near = [(e, p + a, p + b) for p, q in regions(target, block, allowed) for e, a, b in [nearest_stretch(target, block[p:q])]]
+                    edits, a, b = min(near, default=(allowed + 1, 0, 0))
                     if edits > allowed:
                         break
                     there = [words[start + i] if block[i] >= 0 else "" for i in range(a, b)]
