@@ -12,7 +12,8 @@ hashes and is found by prefix filtering under one global order, rare grams first
 2. *Skip within lists.* Prefix grams of the sets left form inverted lists, ordered by
    set size and, in blocks of equal size, by position. A probe stops at the first block
    that is too large, and leaves a block at the first position from which too few grams
-   remain.
+   remain. A long list is cut by the sets' keys, and every two of its parts are probed by
+   a task of their own.
 3. *Skip between sets.* Candidate pairs are gathered in cells of related sets, to which
    each set is sent once. Within a cell a set's overlaps are derived from those of a
    similar set that has them already: only the grams in which the two differ are looked
@@ -24,6 +25,7 @@ Documents with equal sets share a key, so copies are joined once, as one set.
 from __future__ import annotations
 
 import math
+from collections import OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,7 +37,7 @@ from pyspark.sql import functions as F
 from ..plans.shared import materialize, maybe_broadcast, settled, slices
 from . import _kernels as K
 from ._components import components
-from ._frames import MAX_SAFE_ROWS, id_text, table, tidy, tidy_cogroup, tidy_group
+from ._frames import MAX_SAFE_ROWS, batched, id_text, table, tidy, tidy_cogroup, tidy_group
 
 N = 3
 THRESHOLD = 0.5
@@ -47,7 +49,11 @@ SLICE_BYTES = 10 << 20
 GRAM_BITS = 42
 """Bits of a gram's hash besides those that name its slice."""
 PROBE_ENTRIES = 250_000
-"""List entries of a slice that are probed at once; a longer list is probed whole."""
+"""List entries of a slice that are probed at once."""
+LONG_LIST = 20_000
+"""Entries over which a list is cut into blocks, each pair of which is probed by itself, in a slice of its own."""
+KNOWN_BYTES = 32 << 20
+"""Overlaps that a cell remembers to derive others from; a set whose like is forgotten is looked up whole."""
 CELL_PAIRS = 1_000_000
 """Candidate pairs over which a cell is split by hash."""
 BIN_PAIRS = 200_000
@@ -164,7 +170,7 @@ def _count_slice(gram_bits: int):
         ordered = grams[order]
         first = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
         df = np.diff(np.append(first, len(ordered)))
-        level = np.minimum(255, np.floor(16 * np.log2(df))).astype(np.uint8)
+        level = _level(df)
         shared = np.repeat(df > 1, df)
         keep = order[shared]
         level = np.repeat(level, df)[shared]
@@ -191,7 +197,7 @@ def prefix_size(n: np.ndarray, threshold: float) -> np.ndarray:
 
 
 def _close_block(gram_bits: int, threshold: float):
-    schema = pa.schema([("doc", pa.int64()), ("key", pa.int64()), ("n", pa.int64()), ("prefix", pa.int32()), ("grams", pa.binary())])
+    schema = pa.schema([("doc", pa.int64()), ("key", pa.int64()), ("n", pa.int64()), ("prefix", pa.int32()), ("grams", pa.binary()), ("levels", pa.binary())])
 
     def run(rows: pa.Table) -> pa.Table:
         names = rows.column("slice").to_numpy()
@@ -218,7 +224,7 @@ def _close_block(gram_bits: int, threshold: float):
         keep = prefix[sets] > 0
         sets, grams, level = sets[keep], grams[keep], level[keep]
         order = np.lexsort((grams, level, sets))
-        grams, cuts = grams[order], np.searchsorted(sets[order], np.arange(n_sets + 1))
+        grams, level, cuts = grams[order], level[order], np.searchsorted(sets[order], np.arange(n_sets + 1))
         # rows of documents have no grams, rows of sets no document
         return pa.table(
             [
@@ -227,6 +233,7 @@ def _close_block(gram_bits: int, threshold: float):
                 pa.array(np.concatenate((sizes[of], sizes[live]))),
                 pa.array(np.concatenate((np.zeros(n_docs, _I64), prefix[live])).astype(np.int32)),
                 pa.array([None] * n_docs + [grams[cuts[i] : cuts[i + 1]].tobytes() for i in live.tolist()], pa.binary()),
+                pa.array([None] * n_docs + [level[cuts[i] : cuts[i] + prefix[i]].tobytes() for i in live.tolist()], pa.binary()),
             ],
             schema=schema,
         )
@@ -237,45 +244,96 @@ def _close_block(gram_bits: int, threshold: float):
 # -- 2: candidates from inverted lists
 
 
-def _send_prefixes(list_slices: int):
+def _prefix_entries(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(gram, key, size, place) of every prefix gram of the sets (key, n, prefix, grams)."""
+    prefix = batch.column(2).to_numpy().astype(_I64)
+    sizes = batch.column(1).to_numpy()
+    data, offs = K.utf8_parts(batch.column(3))
+    flat = np.frombuffer(data.tobytes(), _U64)
+    owner = np.repeat(np.arange(len(prefix)), prefix)
+    held = np.diff(offs) // 8
+    return flat[K.ragged(offs[:-1] // 8, prefix)], batch.column(0).to_numpy()[owner], sizes[owner].astype(_I64), K.ragged(sizes - held, prefix)
+
+
+def _level(df: np.ndarray) -> np.ndarray:
+    return np.minimum(255, np.floor(16 * np.log2(df))).astype(np.uint8)
+
+
+def _long_lists(sets: DataFrame) -> dict[int, int]:
+    """gram -> blocks, for the prefix grams with more than ``LONG_LIST`` entries.
+
+    There are at most ``entries / LONG_LIST`` of them, and only grams that as many sets
+    have anywhere are counted; a prefix, the rarest grams of a set, holds few of these.
+    """
+    least = int(_level(np.array([LONG_LIST]))[0])
+
+    def run(batch: pa.RecordBatch):
+        grams = _prefix_entries(batch)[0]
+        level = np.frombuffer(K.utf8_parts(batch.column(4))[0].tobytes(), np.uint8)
+        g, n = np.unique(grams[level >= least], return_counts=True)
+        yield pa.RecordBatch.from_arrays([_signed(g), pa.array(n)], ["gram", "n"])
+
+    rows = sets.mapInArrow(batched(run), "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n")).where(F.col("n") > LONG_LIST).collect()
+    return {r["gram"] & (1 << 64) - 1: -(-r["n"] // LONG_LIST) for r in rows}
+
+
+def _send_prefixes(list_slices: int, long: dict[int, int]):
+    """Rows (slice, grams, keys, sizes, places, blocks): the entries of a slice's lists.
+
+    Slices from 0 hold whole lists. Two blocks of a long list meet in a slice under 0, with
+    the list's name changed to theirs; ``blocks`` there tells which of the two an entry is
+    of, and 2 stands for the only one of a block that meets itself.
+    """
+    names = np.array(sorted(long), _U64)
+    parts = np.array([long[g] for g in sorted(long)], _I64)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prefix = batch.column(2).to_numpy().astype(_I64)
-            sizes = batch.column(1).to_numpy()
-            keys = batch.column(0).to_numpy()
-            data, offs = K.utf8_parts(batch.column(3))
-            flat = np.frombuffer(data.tobytes(), _U64)
-            held = np.diff(offs) // 8
-            index = K.ragged(offs[:-1] // 8, prefix)
-            if not len(index):
+            grams, keys, sizes, place = _prefix_entries(batch)
+            if not len(grams):
                 continue
-            grams = flat[index]
-            owner = np.repeat(np.arange(len(prefix)), prefix)
-            place = K.ragged(sizes - held, prefix)
-            where = (K.mix64(grams) % _U64(list_slices)).astype(np.int32)
+            where = (K.mix64(grams) % _U64(list_slices)).astype(_I64)
+            side = np.full(len(grams), 2, np.uint8)
+            if len(names):
+                at = np.minimum(np.searchsorted(names, grams), len(names) - 1)
+                split = np.flatnonzero(names[at] == grams)
+                n = parts[at[split]]
+                mine = (K.mix64(keys[split].view(_U64)) % n.astype(_U64)).astype(_I64)
+                entry, other = np.repeat(split, n), K.ragged(np.zeros(len(n), _I64), n)
+                mine = np.repeat(mine, n)
+                low, high = np.minimum(mine, other), np.maximum(mine, other)
+                name = K.mix64(grams[entry] + K.mix64((low << 32 | high).astype(_U64)))
+                keep = np.setdiff1d(np.arange(len(grams)), split, assume_unique=True)
+                grams, keys, sizes, place = (np.concatenate((x[keep], y)) for x, y in ((grams, name), (keys, keys[entry]), (sizes, sizes[entry]), (place, place[entry])))
+                # a slice of its own, but for a chance that costs time only
+                where = np.concatenate((where[keep], -1 - (name >> _U64(34)).astype(_I64)))
+                side = np.concatenate((side[keep], np.where(mine == other, 2, mine > other).astype(np.uint8)))
             order = np.argsort(where, kind="stable")
-            cuts = np.searchsorted(where[order], np.arange(list_slices + 1))
-            used = np.flatnonzero(np.diff(cuts))
-            out = {k: [] for k in ("g", "k", "n", "p")}
-            for w in used.tolist():
+            used, first = np.unique(where[order], return_index=True)
+            cuts = np.append(first, len(order))
+            out = {k: [] for k in ("g", "k", "n", "p", "b")}
+            for w in range(len(used)):
                 o = order[cuts[w] : cuts[w + 1]]
                 out["g"].append(grams[o].tobytes())
-                out["k"].append(keys[owner[o]].tobytes())
-                out["n"].append(sizes[owner[o]].astype(np.uint32).tobytes())
+                out["k"].append(keys[o].tobytes())
+                out["n"].append(sizes[o].astype(np.uint32).tobytes())
                 out["p"].append(place[o].astype(np.uint32).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), *(pa.array(out[k], pa.binary()) for k in ("g", "k", "n", "p"))], ["slice", "grams", "keys", "sizes", "places"])
+                out["b"].append(side[o].tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), *(pa.array(out[k], pa.binary()) for k in ("g", "k", "n", "p", "b"))], ["slice", "grams", "keys", "sizes", "places", "blocks"])
 
     return run
 
 
-def probe_lists(grams: np.ndarray, keys: np.ndarray, sizes: np.ndarray, places: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def probe_lists(grams: np.ndarray, keys: np.ndarray, sizes: np.ndarray, places: np.ndarray, threshold: float, sides: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Candidate pairs of keys from the inverted lists of a slice, with repeats.
 
     Every entry probes the entries after it in its list, all entries at once; a probe
-    holds a cursor that moves one entry on, or over the rest of a block.
+    holds a cursor that moves one entry on, or over the rest of a block. ``sides``: entries
+    of one side, 0 or 1, are no pairs; those of side 2 are pairs with all.
     """
     order = np.lexsort((keys, places, sizes, grams))
     grams, keys, sizes, places = grams[order], keys[order], sizes[order].astype(_I64), places[order].astype(_I64)
+    sides = np.full(len(grams), 2, np.uint8) if sides is None else sides[order]
     m = len(grams)
     new_list = np.concatenate(([True], grams[1:] != grams[:-1]))
     new_block = new_list | np.concatenate(([True], sizes[1:] != sizes[:-1]))
@@ -290,7 +348,7 @@ def probe_lists(grams: np.ndarray, keys: np.ndarray, sizes: np.ndarray, places:
         probe, cursor = probe[fits], cursor[fits]
         need = np.ceil(share * (sizes[probe] + sizes[cursor]) - 1e-9)
         enough = np.minimum(rest[probe], rest[cursor]) >= need
-        pair = enough & (keys[probe] != keys[cursor])
+        pair = enough & (keys[probe] != keys[cursor]) & ((sides[probe] != sides[cursor]) | (sides[probe] == 2))
         if pair.any():
             a, b = keys[probe[pair]], keys[cursor[pair]]
             yield np.minimum(a, b), np.maximum(a, b)
@@ -312,7 +370,7 @@ def _probe_slice(threshold: float):
         def whole(name, kind):
             return np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in rows.column(name)])
 
-        grams, keys, sizes, places = whole("grams", _U64), whole("keys", _I64), whole("sizes", np.uint32), whole("places", np.uint32)
+        grams, keys, sizes, places, sides = whole("grams", _U64), whole("keys", _I64), whole("sizes", np.uint32), whole("places", np.uint32), whole("blocks", np.uint8)
         order = np.argsort(grams, kind="stable")
         grams = grams[order]
         starts = np.flatnonzero(np.concatenate(([True], grams[1:] != grams[:-1])))
@@ -321,7 +379,7 @@ def _probe_slice(threshold: float):
         open_, waiting = [], 0
         for low, high in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
             part = order[low:high]
-            for pair in probe_lists(grams[low:high], keys[part], sizes[part], places[part], threshold):
+            for pair in probe_lists(grams[low:high], keys[part], sizes[part], places[part], threshold, sides[part]):
                 open_.append(pair)
                 waiting += len(pair[0])
                 if waiting > 1_000_000 + len(a):
@@ -356,21 +414,22 @@ class Cell:
     def overlaps(self, order: list[int], similar: dict[int, int]) -> Iterator[tuple[int, np.ndarray]]:
         """(set, its overlap with every set of the cell), in an order in which a set
         follows the one it may be derived from."""
-        known: dict[int, np.ndarray] = {}
+        known: OrderedDict[int, np.ndarray] = OrderedDict()
+        most = max(2, KNOWN_BYTES // (8 * max(1, len(self.sets))))
         for i in order:
             mine, z = self.sets[i], similar.get(i)
+            overlap = None
             if z is not None and z in known:
+                known.move_to_end(z)
                 theirs = self.sets[z]
                 more = mine[~_within(mine, theirs)]
                 less = theirs[~_within(theirs, mine)]
                 if 2 * (len(more) + len(less)) < len(mine):
-                    known[i] = known[z] + self.count(more) - self.count(less)
-                    yield i, known[i]
-                    continue
-            known[i] = self.count(mine)
+                    overlap = known[z] + self.count(more) - self.count(less)
+            known[i] = self.count(mine) if overlap is None else overlap
             yield i, known[i]
-            if len(known) > 4096:
-                known = {i: known[i]}
+            while len(known) > most:
+                known.popitem(last=False)
 
 
 def _within(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -435,12 +494,13 @@ def _join_sets(docs: DataFrame, id_col: str, text_col: str, n: int, threshold: f
     gram_bits = min(GRAM_BITS, 63 - slice_bits)
     sent = picked.mapInArrow(tidy(_send_blocks(n, slice_bits, gram_bits)), "slice int, block bigint, grams binary, sets binary")
     counted = sent.groupBy("slice").applyInArrow(tidy_group(_count_slice(gram_bits)), "block bigint, slice int, sets binary, grams binary, df binary")
-    closed = materialize(counted.groupBy("block").applyInArrow(tidy_group(_close_block(gram_bits, threshold)), "doc bigint, key bigint, n bigint, prefix int, grams binary"), "jaccard-sets")
+    closed = materialize(counted.groupBy("block").applyInArrow(tidy_group(_close_block(gram_bits, threshold)), "doc bigint, key bigint, n bigint, prefix int, grams binary, levels binary"), "jaccard-sets")
     members = closed.where("doc IS NOT NULL").select("doc", "key")
-    sets = closed.where("doc IS NULL").select("key", "n", "prefix", "grams")
+    sets = closed.where("doc IS NULL").select("key", "n", "prefix", "grams", "levels")
     total = sets.agg(F.coalesce(F.sum("prefix"), F.lit(0)).alias("s")).first()["s"]
     list_slices = max(1, -(-total // 2_000_000))
-    lists = sets.mapInArrow(tidy(_send_prefixes(list_slices)), "slice int, grams binary, keys binary, sizes binary, places binary")
+    long = _long_lists(sets)
+    lists = sets.mapInArrow(tidy(_send_prefixes(list_slices, long)), "slice int, grams binary, keys binary, sizes binary, places binary, blocks binary")
     pairs = materialize(lists.groupBy("slice").applyInArrow(tidy_group(_probe_slice(threshold)), "x bigint, y bigint").distinct(), "jaccard-candidates")
     # a cell is named by the least key near a pair; cells of many pairs are split by one side's hash
     both = pairs.select("x", "y").union(pairs.select(F.col("y").alias("x"), F.col("x").alias("y")))
