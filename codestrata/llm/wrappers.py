@@ -8,13 +8,16 @@ result is a union-free regular expression. A slot whose text is the same on all
 belongs to the template; the others are fields, and a page's fields are extracted by
 aligning its stream with its host's wrapper.
 
+Streams are aligned by their longest common subsequence, kept in the bits of long integers,
+so that an alignment takes a machine word's operation for 64 pairs of tokens.
+
 Pages of one structure align alike, so hosts fold distinct structures, not pages:
-tasks first add up their own, and a host's structures are folded in parts, then the parts.
+tasks first add up their own. A host's structures are folded in parts of bounded size,
+then the parts in parts, until one is left.
 """
 
 from __future__ import annotations
 
-import difflib
 import html as entities
 import json
 import re
@@ -26,14 +29,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.shared import materialize, maybe_broadcast
-from ._frames import batched, table, tidy, tidy_group
+from ._frames import MAX_SAFE_ROWS, batched, table, tidy, tidy_group
 
 TEXT = "#"
-PARTS = 16
-"""Parts that a host's structures are folded in before the parts are."""
-WRAPPER_ROWS = 20_000
-"""Hosts whose wrappers may be broadcast; checked by a count."""
+VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
+PART = 128
+"""Structures, or wrappers of parts, of a host that a task folds into one, on average."""
+WRAPPER_BYTES = 64 << 20
+"""Bytes of wrappers that may be broadcast; checked by a sum over all hosts."""
+LCS_BITS = 1 << 28
+"""Bits that an alignment holds at once; longer streams are halved first."""
 CACHE = 4096
+"""Wrappers that a task keeps parsed. Speed only."""
+KEPT_TOKENS = 400_000
+"""Tokens of streams whose folds a task keeps."""
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(script|style)\b.*?(?:</\1\s*>|$)|<!?/?[a-zA-Z](?:[^<>\"']|\"[^\"]*\"|'[^']*')*>|[^<]+|<", re.DOTALL | re.IGNORECASE)
 _TAG = re.compile(r"<(/?)([a-zA-Z][\w:-]*)", re.DOTALL)
@@ -68,22 +77,21 @@ def fold_repeats(keys: list[str]) -> list:
     items: list = [[k, [i]] for i, k in enumerate(keys)]
     names = list(keys)
     while True:
-        changed = False
         code: dict[str, int] = {}
-        ids = np.array([code.setdefault(n, len(code)) for n in names])
-        for period in range(1, len(ids) // 2 + 1):
+        ids = np.array([code.setdefault(n, len(code)) for n in names], np.int64)
+        alone = np.array([n[0] != "*" and n != TEXT for n in names], bool)
+        for period in _periods(ids):
             same = ids[:-period] == ids[period:]
-            # a run of ``period`` equal places covers a multiple of it
-            if not same[period - 1 :: period].any():
-                continue
             edges = np.flatnonzero(np.diff(np.concatenate(([0], same.view(np.int8), [0]))))
-            runs = [(a, b) for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True) if b - a >= period and (period > 1 or names[a][0] == "*" or names[a] == TEXT)]
             # one token by itself is no group unless it is a text or a group
+            runs = [(a, b) for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True) if b - a >= period and (period > 1 or not alone[a])]
             if not runs:
                 continue
             done, at, new_items, new_names = 0, 0, [], []
             for a, b in runs:
-                if a < done:
+                # a run that begins within the group before may be long enough after it
+                a = max(a, done)
+                if b - a < period or period == 1 and alone[a]:
                     continue
                 count = (b - a) // period + 1
                 new_items += items[at:a]
@@ -92,13 +100,32 @@ def fold_repeats(keys: list[str]) -> list:
                 new_items.append(["*", body, count])
                 new_names.append("*(" + " ".join(names[a : a + period]) + ")")
                 at = done = a + count * period
-                changed = True
             items, names = new_items + items[at:], new_names + names[at:]
             break
-        if not changed:
+        else:
             return items
 
 
+def _periods(ids: np.ndarray):
+    """Periods at which equal stretches may be adjacent, in order: every one at which any are.
+
+    Stretches of 4 tokens or more are named by doubling, so that equal names mean equal
+    stretches of 4, 8, 16 ... tokens. Where those of a period between a length and twice
+    it are adjacent, two of the length are as far apart; none lies between them, since
+    that would be adjacent stretches of a shorter period, which come first.
+    """
+    n = len(ids)
+    yield from range(1, min(4, n // 2 + 1))
+    size, name = 1, ids
+    while size * 2 <= n // 2:
+        pair = name[:-size] * (int(name.max()) + 1) + name[size:]
+        size, name = size * 2, np.unique(pair, return_inverse=True)[1]
+        if size >= 4:
+            order = np.argsort(name, kind="stable")
+            gap = np.diff(order)[name[order][1:] == name[order][:-1]]
+            yield from np.unique(gap[(gap >= size) & (gap < 2 * size) & (gap <= n // 2)]).tolist()
+
+
 def _zip_items(copies: list) -> list:
     first = copies[0]
     if first[0] == "*":
@@ -132,32 +159,102 @@ def _label(node: list) -> str:
     return "*" + (_label(node[2][0]) if node[2] else "") if node[0] == "*" else node[0]
 
 
+def _labels(nodes: list) -> list[str]:
+    """What nodes are matched by: texts also by the element they stand in, closing tags by the tag they close."""
+    out, open_ = [], []
+    for node in nodes:
+        key = _label(node)
+        if key[0] == "/":
+            at = next((k for k in range(len(open_) - 1, -1, -1) if open_[k].split(".", 1)[0] == key[1:]), None)
+            if at is not None:
+                key = "/" + open_[at]
+                del open_[at:]
+        elif key == TEXT:
+            key += open_[-1] if open_ else ""
+        elif key[0] != "*" and key.split(".", 1)[0] not in VOID:
+            open_.append(key)
+        out.append(key)
+    return out
+
+
+def common(a: list, b: list) -> list[tuple[int, int]]:
+    """Pairs of places of a longest common subsequence; of several, that which takes up places of ``b`` the latest."""
+    low = 0
+    while low < len(a) and low < len(b) and a[low] == b[low]:
+        low += 1
+    high = 0
+    while high < min(len(a), len(b)) - low and a[-1 - high] == b[-1 - high]:
+        high += 1
+    inner = _common(a[low : len(a) - high], b[low : len(b) - high])
+    return [(k, k) for k in range(low)] + [(low + i, low + j) for i, j in inner] + [(len(a) - high + k, len(b) - high + k) for k in range(high)]
+
+
+def _rows(a: list, b: list):
+    """For each prefix of ``b`` the integer whose bit ``i`` is 0 where its common subsequence with ``a`` grows at place ``i``."""
+    masks: dict = {}
+    for i, x in enumerate(a):
+        masks[x] = masks.get(x, 0) | 1 << i
+    full = (1 << len(a)) - 1
+    v = full
+    for y in b:
+        u = v & masks.get(y, 0)
+        v = ((v + u) | (v - u)) & full
+        yield v
+
+
+def _common(a: list, b: list) -> list[tuple[int, int]]:
+    if not a or not b:
+        return []
+    if len(a) * len(b) > LCS_BITS and len(b) > 1:
+        # halves of b, split where the subsequences of both add up to the most
+        half = len(b) // 2
+        *_, v = _rows(a, b[:half])
+        *_, w = _rows(a[::-1], b[half:][::-1])
+        grown = [np.concatenate(([0], np.cumsum(1 - np.unpackbits(np.frombuffer(x.to_bytes(len(a) // 8 + 1, "little"), np.uint8), count=len(a), bitorder="little").astype(np.int64)))) for x in (v, w)]
+        cut = int((grown[0] + grown[1][::-1]).argmax())
+        return _common(a[:cut], b[:half]) + [(cut + i, half + j) for i, j in _common(a[cut:], b[half:])]
+    rows = list(_rows(a, b))
+    out = []
+    i, j = len(a) - 1, len(b) - 1
+    while i >= 0 and j >= 0:
+        if rows[j] >> i & 1:
+            # place i adds nothing: the nearest one below that does
+            below = ~rows[j] & (1 << i) - 1
+            i = below.bit_length() - 1
+        elif j and not rows[j - 1] >> i & 1:
+            # it did already without b[j]
+            j -= 1
+        else:
+            out.append((i, j))
+            i, j = i - 1, j - 1
+    return out[::-1]
+
+
 def align(left: list, right: list) -> list[tuple[int | None, int | None]]:
     """Pairs of indexes of two wrappers in order; None where a side has nothing.
 
     Groups match by how they begin. A stretch that stands where the other side has a
     group with the same body is matched to that group.
     """
-    a, b = [_label(x) for x in left], [_label(x) for x in right]
     out: list[tuple[int | None, int | None]] = []
-    for kind, i, j, k, m in difflib.SequenceMatcher(None, a, b, autojunk=False).get_opcodes():
-        if kind == "equal":
-            out += zip(range(i, j), range(k, m), strict=True)
-            continue
-        x, y = i, k
-        while x < j and y < m:
-            if left[x][0] == "*" and _begins(left[x][2], right[y:m]):
+    x = y = 0
+    for i, j in [*common(_labels(left), _labels(right)), (len(left), len(right))]:
+        while x < i and y < j:
+            if left[x][0] == "*" and _begins(left[x][2], right[y:j]):
                 n = len(left[x][2])
                 out += [(x, y + t) for t in range(n)]
                 x, y = x + 1, y + n
-            elif right[y][0] == "*" and _begins(right[y][2], left[x:j]):
+            elif right[y][0] == "*" and _begins(right[y][2], left[x:i]):
                 n = len(right[y][2])
                 out += [(x + t, y) for t in range(n)]
                 x, y = x + n, y + 1
             else:
                 break
-        out += [(t, None) for t in range(x, j)]
-        out += [(None, t) for t in range(y, m)]
+        out += [(t, None) for t in range(x, i)]
+        out += [(None, t) for t in range(y, j)]
+        if i < len(left):
+            out.append((i, j))
+        x, y = i + 1, j + 1
     return out
 
 
@@ -264,6 +361,26 @@ def slots_of(items: list, wrapper: list) -> dict[int, int]:
     return out
 
 
+class Kept:
+    """Results by key, kept until they are too many: pages of a site have few different streams. Speed only."""
+
+    def __init__(self, make):
+        self.make, self.held, self.size = make, {}, 0
+
+    def of(self, key: tuple, weight: int, *args):
+        if key not in self.held:
+            if self.size > KEPT_TOKENS:
+                self.held, self.size = {}, 0
+            self.held[key] = self.make(*args)
+            self.size += weight + 16
+        return self.held[key]
+
+
+def _folded(keys: list[str]) -> tuple[list, str]:
+    items = fold_repeats(keys)
+    return items, json.dumps(shape(items), ensure_ascii=False, separators=(",", ":"))
+
+
 def _host(url):
     return F.coalesce(F.lower(F.regexp_extract(url, r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/@?#]*@)?([^/:?#]+)", 1)), F.lit(""))
 
@@ -271,6 +388,7 @@ def _host(url):
 def _structures(batches):
     """(host, structure, n, constants): the distinct structures of a task's pages."""
     found: OrderedDict[tuple[str, str], list] = OrderedDict()
+    folds = Kept(_folded)
 
     def rows():
         keys = list(found)
@@ -285,9 +403,10 @@ def _structures(batches):
             stream = tokens(page)
             if not stream:
                 continue
-            items = fold_repeats([k for k, _ in stream])
+            keys = [k for k, _ in stream]
+            items, structure = folds.of(tuple(keys), len(keys), keys)
             texts = [" ".join(stream[x[1][0]][1].split()) for x in items if x[0] == TEXT]
-            key = (host, json.dumps(shape(items), ensure_ascii=False, separators=(",", ":")))
+            key = (host, structure)
             if key in found:
                 old = found[key]
                 old[0] += 1
@@ -351,9 +470,18 @@ def infer(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> Dat
             out.append(json.dumps([v[0] if all(x == v[0] for x in v) else None for v in zip(*parts, strict=True)], ensure_ascii=False))
         yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(out, pa.string())], ["host", "structure", "n", "constants"])
 
-    found = materialize(found.mapInArrow(batched(constant), schema), "wrapper-structures")
-    parts = found.withColumn("part", F.pmod(F.xxhash64("structure"), F.lit(PARTS))).groupBy("host", "part").applyInArrow(tidy_group(_fold(True)), schema)
-    whole = parts.groupBy("host").applyInArrow(tidy_group(_fold(False)), schema)
+    now = materialize(found.mapInArrow(batched(constant), schema), "wrapper-structures")
+    structures = True
+    while True:
+        counts = now.groupBy("host").agg(F.ceil(F.count("*") / PART).alias("parts"))
+        many = materialize(counts.where("parts > 1"), "wrapper-parts")
+        n_many = many.count()
+        if not n_many:
+            whole = now.groupBy("host").applyInArrow(tidy_group(_fold(structures)), schema)
+            break
+        split = now.join(maybe_broadcast(many, n_many, MAX_SAFE_ROWS // 10), "host", "left").withColumn("part", F.pmod(F.xxhash64("structure"), F.coalesce("parts", F.lit(1))))
+        now = materialize(split.select("host", "structure", "n", "constants", "part").groupBy("host", "part").applyInArrow(tidy_group(_fold(structures)), schema), "wrapper-folded")
+        structures = False
 
     def show(batch: pa.RecordBatch):
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([pattern(json.loads(w)) for w in batch.column(1).to_pylist()], pa.string())], ["host", "wrapper", "pages", "pattern"])
@@ -370,15 +498,19 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     breaks. A null page has null fields and content, an empty one none and an empty
     content. Repeated rows are extracted alike, a null id stays null, other columns are
     not read. A host of one page has a wrapper without fields to tell from template: then
-    every text is a field.
+    every text is a field. Pages and wrappers of any length are aligned whole. Wrappers
+    are broadcast if all together they have ``WRAPPER_BYTES`` or less.
     """
     wrappers = materialize(infer(pages, url_col, html_col).select("host", "wrapper", F.col("pages").alias("template_pages")), "wrappers")
-    side = maybe_broadcast(wrappers, wrappers.count(), WRAPPER_ROWS)
+    held = wrappers.agg(F.sum(F.octet_length("wrapper") + F.octet_length("host") + F.lit(64)).alias("b")).first()["b"] or 0
+    side = maybe_broadcast(wrappers, held, WRAPPER_BYTES)
     picked = pages.select(F.col(f"`{id_col}`").cast("bigint").alias("page_id"), _host(F.col(f"`{url_col}`")).alias("host"), F.make_valid_utf8(F.col(f"`{html_col}`").cast("string")).alias("html"))
     joined = picked.join(side, "host", "left").select("page_id", "host", F.coalesce("template_pages", F.lit(0)).cast("bigint").alias("template_pages"), "html", "wrapper")
 
     def run(batches):
         known: dict[str, list] = {}
+        folds = Kept(fold_repeats)
+        places = Kept(lambda keys, wrapper: slots_of(folds.of(keys, len(keys), list(keys)), wrapper))
         for batch in batches:
             fields, content = [], []
             hosts, sizes = batch.column(1).to_pylist(), batch.column(2).to_pylist()
@@ -391,13 +523,13 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
                 stream = tokens(page)
                 got = []
                 if stream:
-                    items = fold_repeats([k for k, _ in stream])
+                    keys = tuple(k for k, _ in stream)
                     if hosts[i] not in known:
                         if len(known) >= CACHE:
                             known.clear()
                         known[hosts[i]] = json.loads(batch.column(4)[i].as_py())
                     wrapper = known[hosts[i]]
-                    slots = slots_of(items, wrapper)
+                    slots = places.of((hosts[i], keys), len(keys), keys, wrapper)
                     constants = {n[2] for n in wrapper if n[0] == TEXT and n[2] is not None} if sizes[i] > 1 else set()
                     for at, (kind, text) in enumerate(stream):
                         if kind == TEXT:
