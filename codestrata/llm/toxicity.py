@@ -7,26 +7,31 @@ pointwise mutual information makes them a word graph. Two random walks with rest
 from each kind of seed, give every term two visiting rates. The logarithm of their ratio,
 less that of the clean seeds around the term, is its polarity: without that, a language
 with many toxic seeds would colour all of its terms. The toxic lexicon has the toxic seeds
-and, if labelled documents are told apart the better for them, the terms of no label that
-stand out. A document scores by the polarity of its toxic
-terms, and the threshold is the one that separates the labelled documents best.
-
-Graph terms are chosen by shares of the documents, so their number does not grow with the
-corpus, and neither do the tables of pairs, the vectors of the walk or what is broadcast.
+and the terms of no label that stand out, unless labelled documents that a threshold was
+not fitted on are told apart the worse for these. A document scores by the polarity of its
+toxic terms, and the threshold is the one that separates the labelled documents best.
+
+Graph terms are those in a share of the documents between ``NODE_SHARE`` and ``STOP_SHARE``:
+less frequent ones tell too little of what stands around them, and stop words stand around
+everything. There are at most (words of a document / ``NODE_SHARE``) of them, so neither the
+vectors of the walk nor what is broadcast grows with the corpus. Pairs are counted in slices
+of their own, which stream through a task, and totals in ranges of terms.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.shared import materialize
+from ..plans.shared import materialize, slices
 from . import _kernels as K
-from ._frames import batched, id_text, table, tidy, tidy_group
+from ._frames import batched, id_text, release, table, tidy
 from ._vocab import distinct_words, sum_by_key, term_df
 
 LABEL_SAMPLE = 20_000
@@ -38,13 +43,21 @@ SEED_ODDS = 20.0
 CLEAN_SEED_DOCS = 5
 """Labelled documents a clean seed is in, at least; their odds are under the toxic seeds'."""
 NODE_DOCS = 10
-NODE_SHARE = 0.002
+NODE_SHARE = 0.0002
 STOP_SHARE = 0.05
 """Graph terms occur in a share of the documents between these, and in ``NODE_DOCS`` at least; seeds always belong."""
 REACH = 2
 """Graph terms on each side of a graph term, in the sequence of graph terms of a text, that count as near."""
 BLOCK_PAIRS = 3_000_000
-PAIR_SLICES = 64
+"""Pairs a task gathers before it counts and sends them."""
+PAIR_BYTES = 16 << 20
+"""Text bytes that make a slice of pairs ..."""
+PAIR_SLICES = 16_384
+"""... up to so many slices: their pairs are bounded by the graph's, and they are streamed."""
+TOTAL_TERMS = 1024
+"""Graph terms whose totals are added up together."""
+VECTOR_TERMS = 65_536
+"""Entries of a vector that are added up together."""
 MIN_PAIRS = 3
 """Pairs met less often are no edges."""
 RESTART = 0.3
@@ -60,12 +73,13 @@ SCHEMA = "doc_id bigint, score double, n_toxic_terms int, toxic boolean"
 
 
 def labelled(docs: DataFrame, labels: DataFrame, sample: int = LABEL_SAMPLE) -> DataFrame:
-    """(id, text, toxic) of at most ``sample`` labelled documents, copies once; conflicting labels count as toxic."""
+    """(id, text, toxic, fold) of at most ``sample`` labelled documents, copies once; conflicting labels count as toxic."""
     clean = labels.select(F.col("doc_id").cast("bigint").alias("lid"), F.col("toxic").cast("int").alias("toxic")).where("lid IS NOT NULL AND toxic IS NOT NULL")
     chosen = clean.groupBy("lid").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("lid"), "lid").limit(sample)
     # bounded by ``sample`` rows of two numbers
     rows = docs.where("text IS NOT NULL").join(F.broadcast(materialize(chosen, "toxicity-labels")), F.col("id") == F.col("lid"))
-    return rows.groupBy("text").agg(F.min("id").alias("id"), F.max("toxic").alias("toxic")).select("id", "text", "toxic")
+    fold = F.pmod(F.xxhash64("text"), F.lit(2)).cast("int")
+    return rows.groupBy("text").agg(F.min("id").alias("id"), F.max("toxic").alias("toxic")).select("id", "text", "toxic", fold.alias("fold"))
 
 
 def _label_counts(batch: pa.RecordBatch):
@@ -123,24 +137,29 @@ def graph_terms(picked: DataFrame, toxic: np.ndarray) -> np.ndarray:
     return np.unique(np.concatenate((middle.column("term").to_numpy().view(np.uint64), toxic)))
 
 
-def _send_pairs(terms: np.ndarray):
+def _send_pairs(terms: np.ndarray, slices_: int):
     def run(batches):
         size = np.uint64(len(terms))
         held: list[np.ndarray] = []
         totals = np.zeros(len(terms), np.int64)
         waiting = 0
 
+        def packed(where: np.ndarray, code: np.ndarray, count: np.ndarray):
+            """Rows (slice, codes, counts); all arrays are in the order of ``code``, in which ``where`` rises too."""
+            used, first = np.unique(where, return_index=True)
+            cuts = np.append(first, len(where)).tolist()
+            for low in range(0, len(used), 512):
+                rows: list[list] = [[], [], []]
+                for k in range(low, min(low + 512, len(used))):
+                    a, b = cuts[k], cuts[k + 1]
+                    rows[0].append(int(used[k]))
+                    rows[1].append(_pack(np.diff(code[a:b], prepend=np.uint64(0))))
+                    rows[2].append(_pack(count[a:b].astype(np.uint64)))
+                yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), pa.array(rows[1], pa.binary()), pa.array(rows[2], pa.binary())], ["slice", "codes", "counts"])
+
         def flush():
             code, count = np.unique(np.concatenate(held), return_counts=True)
-            where = (code // size * np.uint64(PAIR_SLICES) // size).astype(np.int64)
-            cuts = np.searchsorted(where, np.arange(PAIR_SLICES + 1))
-            rows: list[list] = [[], [], []]
-            for s in np.flatnonzero(np.diff(cuts)).tolist():
-                a, b = cuts[s], cuts[s + 1]
-                rows[0].append(s)
-                rows[1].append(_pack(np.diff(code[a:b], prepend=np.uint64(0))))
-                rows[2].append(_pack(count[a:b].astype(np.uint64)))
-            yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), pa.array(rows[1], pa.binary()), pa.array(rows[2], pa.binary())], ["slice", "codes", "counts"])
+            return packed((code // size * np.uint64(slices_) // size).astype(np.int64), code, count)
 
         for batch in batches:
             for a, b in K.chunks(batch.column(1)):
@@ -163,11 +182,18 @@ def _send_pairs(terms: np.ndarray):
                     held, waiting = [], 0
         if waiting:
             yield from flush()
-        yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([totals.astype("<i8").tobytes()], pa.binary()), pa.array([None], pa.binary())], ["slice", "codes", "counts"])
+        there = np.flatnonzero(totals)
+        # totals of a range of terms go to a slice under 0
+        yield from _below(packed(there // TOTAL_TERMS, there.astype(np.uint64), totals[there]))
 
     return run
 
 
+def _below(batches):
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([pc.subtract(pa.scalar(-1, pa.int32()), batch.column(0)), *batch.columns[1:]], batch.schema.names)
+
+
 def _pack(x: np.ndarray) -> bytes:
     top = int(x.max())
     width = next(w for w in (1, 2, 4, 8) if top < 1 << (8 * w))
@@ -185,23 +211,27 @@ def _unpack(raw) -> np.ndarray:
 def _add_pairs(n_terms: int):
     schema = pa.schema([("slice", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("n", pa.binary())])
 
-    def run(rows: pa.Table) -> pa.Table:
-        s = rows.column("slice")[0].as_py()
-        if s < 0:
-            total = np.sum([np.frombuffer(x.as_buffer(), "<i8") for x in rows.column("codes")], axis=0)
-            return pa.table([pa.array([s], pa.int32()), pa.array([total.astype("<i8").tobytes()], pa.binary()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary())], schema=schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        s = None
         code, count = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        parts, waiting = [], 0
-        for c, k in zip(rows.column("codes"), rows.column("counts"), strict=True):
-            parts.append((np.cumsum(_unpack(c.as_buffer())), _unpack(k.as_buffer()).astype(np.int64)))
-            waiting += len(parts[-1][0])
-            if waiting > max(1_000_000, len(code)):
-                code, count = sum_by_key(np.concatenate([code, *(x for x, _ in parts)]), np.concatenate([count, *(x for _, x in parts)]))
-                parts, waiting = [], 0
+        parts: list = []
+        waiting = 0
+        for batch in batches:
+            s = batch.column(0)[0].as_py()
+            for c, k in zip(batch.column(1), batch.column(2), strict=True):
+                parts.append((np.cumsum(_unpack(c.as_buffer())), _unpack(k.as_buffer()).astype(np.int64)))
+                waiting += len(parts[-1][0])
+                if waiting > max(1_000_000, len(code)):
+                    code, count = sum_by_key(np.concatenate([code, *(x for x, _ in parts)]), np.concatenate([count, *(x for _, x in parts)]))
+                    parts, waiting = [], 0
         code, count = sum_by_key(np.concatenate([code, *(x for x, _ in parts)]), np.concatenate([count, *(x for _, x in parts)]))
-        code, count = code[count >= MIN_PAIRS], count[count >= MIN_PAIRS]
-        a, b = (code // np.uint64(n_terms)).astype("<u4"), (code % np.uint64(n_terms)).astype("<u4")
-        return pa.table([pa.array([s], pa.int32()), pa.array([a.tobytes()], pa.binary()), pa.array([b.tobytes()], pa.binary()), pa.array([count.astype("<u4").tobytes()], pa.binary())], schema=schema)
+        if s < 0:
+            yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([code.astype("<u8").tobytes()], pa.binary()), pa.nulls(1, pa.binary()), pa.array([count.astype("<i8").tobytes()], pa.binary())], schema=schema)
+        else:
+            code, count = code[count >= MIN_PAIRS], count[count >= MIN_PAIRS]
+            a, b = (code // np.uint64(n_terms)).astype("<u4"), (code % np.uint64(n_terms)).astype("<u4")
+            yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([a.tobytes()], pa.binary()), pa.array([b.tobytes()], pa.binary()), pa.array([np.minimum(count, 0xFFFFFFFF).astype("<u4").tobytes()], pa.binary())], schema=schema)
+        release()
 
     return run
 
@@ -222,9 +252,10 @@ def walk(pairs: DataFrame, terms: np.ndarray, toxic: tuple[np.ndarray, np.ndarra
     """(polarity, standard deviation of the clean seeds' polarity) of the graph's terms."""
     spark = pairs.sparkSession
     size = len(terms)
-    head = pairs.where("slice < 0").select("a").first()
-    totals = np.maximum(1, np.frombuffer(bytes(head["a"]), "<i8")) if head else np.ones(size, np.int64)
-    slices = pairs.where("slice >= 0")
+    totals = np.ones(size, np.int64)
+    for r in pairs.where("slice < 0").select("a", "n").collect():
+        totals[np.frombuffer(bytes(r["a"]), "<u8").astype(np.int64)] = np.frombuffer(bytes(r["n"]), "<i8")
+    edges = pairs.where("slice >= 0")
     starts = np.zeros((2, size))
     for k, (seed, mass) in enumerate((toxic, clean)):
         _, mine, theirs = np.intersect1d(terms, seed, assume_unique=True, return_indices=True)
@@ -242,11 +273,26 @@ def walk(pairs: DataFrame, terms: np.ndarray, toxic: tuple[np.ndarray, np.ndarra
                 for a, b, w in _edges(batch, tot):
                     for k in range(len(v)):
                         out[k] += np.bincount(b, w * v[k][a], size) + np.bincount(a, w * v[k][b], size)
-            yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary())], ["part"])
+            for at in range(0, size, VECTOR_TERMS):
+                yield pa.RecordBatch.from_arrays([pa.array([at // VECTOR_TERMS], pa.int32()), pa.array([out[:, at : at + VECTOR_TERMS].tobytes()], pa.binary())], ["block", "part"])
 
-        parts = slices.mapInArrow(run, "part binary").toArrow().column("part")
+        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            block, total = 0, None
+            for batch in batches:
+                block = batch.column(0)[0].as_py()
+                for p in batch.column(1):
+                    x = np.frombuffer(p.as_buffer())
+                    total = x.copy() if total is None else total + x
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["block", "part"])
+
+        # the parts of all tasks are added up before the driver gets the sum
+        parts = edges.mapInArrow(run, "block int, part binary").groupBy("block").applyInArrow(add, "block int, part binary").collect()
         sent.destroy()
-        return np.sum([np.frombuffer(p.as_buffer()).reshape(vectors.shape) for p in parts], axis=0) if len(parts) else np.zeros(vectors.shape)
+        total = np.zeros(vectors.shape)
+        for r in parts:
+            x = np.frombuffer(bytes(r["part"])).reshape(len(vectors), -1)
+            total[:, r["block"] * VECTOR_TERMS :][:, : x.shape[1]] = x
+        return total
 
     degree = spread(np.ones((1, size)))[0]
     now = starts.copy()
@@ -272,8 +318,9 @@ def lexicon(docs: DataFrame, labels: DataFrame, sample: DataFrame | None = None,
     if not len(toxic[0]):
         return np.zeros(0, np.uint64), np.zeros(0), np.zeros(0, bool)
     terms = graph_terms(picked, toxic[0])
-    sent = picked.mapInArrow(tidy(_send_pairs(terms)), "slice int, codes binary, counts binary")
-    pairs = materialize(sent.groupBy("slice").applyInArrow(tidy_group(_add_pairs(len(terms))), "slice int, a binary, b binary, n binary"), "toxicity-pairs")
+    n_slices = min(PAIR_SLICES, slices(docs, text_col, PAIR_BYTES))
+    sent = picked.mapInArrow(tidy(_send_pairs(terms, n_slices)), "slice int, codes binary, counts binary")
+    pairs = materialize(sent.groupBy("slice").applyInArrow(_add_pairs(len(terms)), "slice int, a binary, b binary, n binary"), "toxicity-pairs")
     polarity, deviation = walk(pairs, terms, toxic, clean)
     is_seed, is_clean = np.isin(terms, toxic[0]), np.isin(terms, clean[0])
     keep = is_seed | (~is_clean & (polarity >= max(MARGIN, SPREAD * deviation)))
@@ -299,37 +346,53 @@ def _scores(texts: pa.Array, terms: np.ndarray, weights: np.ndarray) -> tuple[np
     return score, np.bincount(owner, minlength=n)
 
 
+def _cut(score: np.ndarray, t: np.ndarray, n: np.ndarray) -> float:
+    """The score from which documents are best called toxic, by F1: halfway to the next lower one; ties go to the highest."""
+    order = np.argsort(-score)
+    score, t, n = score[order], np.cumsum(t[order]), np.cumsum(n[order])
+    if not len(score) or not t[-1]:
+        return math.inf
+    f1 = np.where(score > 0, 2 * t / (n + t[-1]), 0)
+    best = int(f1.argmax())
+    return float(score[best] + (score[best + 1] if best + 1 < len(score) else 0.0)) / 2 if f1[best] > 0 else math.inf
+
+
 def threshold(sample: DataFrame, terms: np.ndarray, weights: np.ndarray) -> tuple[float, float]:
-    """(score from which labelled documents are best called toxic, its F1); ties go to the highest."""
+    """(score from which labelled documents are best called toxic, held-out F1).
+
+    For the F1 each half of the documents is judged by the threshold of the other half.
+    """
 
     def run(batch: pa.RecordBatch):
         for a, b in K.chunks(batch.column(1)):
             score, _ = _scores(batch.column(1).slice(a, b - a), terms, weights)
-            yield pa.RecordBatch.from_arrays([pa.array(np.round(score, 9)), batch.column(2).slice(a, b - a)], ["score", "toxic"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.round(score, 9)), batch.column(2).slice(a, b - a), batch.column(3).slice(a, b - a)], ["score", "toxic", "fold"])
 
-    rows = sample.mapInArrow(batched(run), "score double, toxic int").groupBy("score").agg(F.sum("toxic").alias("t"), F.count("*").alias("n")).toArrow()
-    score, t, n = (rows.column(c).to_numpy() for c in ("score", "t", "n"))
-    order = np.argsort(-score)
-    score, t, n = score[order], np.cumsum(t[order]), np.cumsum(n[order])
-    if not len(score) or not t[-1]:
-        return math.inf, 0.0
-    f1 = np.where(score > 0, 2 * t / (n + t[-1]), 0)
-    best = int(f1.argmax())
-    # halfway to the next lower score
-    low = score[best + 1] if best + 1 < len(score) else 0.0
-    return (float((score[best] + low) / 2), float(f1[best])) if f1[best] > 0 else (math.inf, 0.0)
+    rows = sample.select("id", "text", "toxic", "fold").mapInArrow(batched(run), "score double, toxic int, fold int").groupBy("fold", "score").agg(F.sum("toxic").alias("t"), F.count("*").alias("n")).toArrow()
+    score, t, n, fold = (rows.column(c).to_numpy() for c in ("score", "t", "n", "fold"))
+    right = called = 0
+    for k in (0, 1):
+        cut = _cut(score[fold != k], t[fold != k], n[fold != k])
+        right += int(t[(fold == k) & (score >= cut)].sum())
+        called += int(n[(fold == k) & (score >= cut)].sum())
+    return _cut(*_by_score(score, t, n)), 2 * right / max(1, called + int(t.sum()))
+
+
+def _by_score(score: np.ndarray, t: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    every, at = np.unique(score, return_inverse=True)
+    return every, np.bincount(at, t, len(every)), np.bincount(at, n, len(every))
 
 
 def model(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[np.ndarray, np.ndarray, float]:
     """(terms, weights, threshold) fitted on a corpus and its labels."""
     sample = materialize(labelled(id_text(docs, id_col, text_col), labels), "toxicity-sample")
     terms, weights, is_seed = lexicon(docs, labels, sample, id_col, text_col)
-    # terms that only the walk found stay if the labelled documents are told apart the better for them
+    # terms that only the walk found go if held-out labelled documents are told apart the worse for them
     whole, f1 = threshold(sample, terms, weights)
     if is_seed.all():
         return terms, weights, whole
     part, seeds_f1 = threshold(sample, terms[is_seed], weights[is_seed])
-    return (terms, weights, whole) if f1 > seeds_f1 else (terms[is_seed], weights[is_seed], part)
+    return (terms, weights, whole) if f1 >= seeds_f1 else (terms[is_seed], weights[is_seed], part)
 
 
 def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -337,7 +400,9 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     Null and empty texts score 0 and are not toxic; repeated rows score alike; a null id
     stays null. Without labels of both kinds, or without any seed, every score is 0 and
-    nothing is toxic. Equal scores fall on one side of the threshold. Other columns, of
+    nothing is toxic. Equal scores fall on one side of the threshold; a term in as many
+    documents as a bound of the graph's terms belongs to it. A toxic term in fewer documents
+    than the graph's least counts if it is a seed, which takes 5 labelled documents. Other columns, of
     documents and labels, are not read. Statistics are over all documents; only seeds and
     threshold are fitted, on ``LABEL_SAMPLE`` labelled ones at most.
     """
