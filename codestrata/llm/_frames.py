@@ -30,6 +30,11 @@ def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return docs.select(col(docs, id_col).cast("bigint").alias("id"), F.make_valid_utf8(col(docs, text_col).cast("string")).alias("text"))
 
 
+def numbered(df: DataFrame) -> DataFrame:
+    """The same rows with columns c0, c1 ...: mapInArrow can't take names with dots."""
+    return df.toDF(*[f"c{k}" for k in range(len(df.columns))])
+
+
 def release() -> None:
     """Give a worker's free memory back. Workers live on between tasks, and what one
     stage needed for a while would otherwise stay with the executor for all that follow."""

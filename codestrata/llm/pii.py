@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from ..plans.shared import materialize
 from . import _kernels as K
-from ._frames import id_text, table, tidy
+from ._frames import id_text, numbered, table, tidy
 from ._vocab import term_df
 
 WINDOW = 5
@@ -256,11 +256,11 @@ def _holding_words(batches):
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in got], t) for k, t in enumerate((pa.string(), pa.string(), pa.int64()))], ["class", "term", "text"])
 
 
-def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = None) -> DataFrame:
-    """The rows of ``docs`` with sanitised texts, and ``pii_entities`` and ``pii_terms``.
+def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = None, counts: tuple[str, str] = ("pii_entities", "pii_terms")) -> DataFrame:
+    """The rows of ``docs`` with sanitised texts, and two counts, of entities and of terms.
 
     All columns are kept, in order; ``length_col`` is set to the new text's characters
-    where it is a column. Existing columns named ``pii_entities`` or ``pii_terms`` are
+    where it is a column. Existing columns named like ``counts`` are
     replaced; names beginning with ``__pii`` are reserved here. Null texts stay null with
     counts 0; empty texts, texts without entities and repeated rows come out as they went
     in, each once. Texts are scanned whole; the test that comes before the rules lets
@@ -274,7 +274,7 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
     that hold them: by broadcast if ``TEXT_ROWS`` or fewer texts have any, else texts are
     shuffled.
     """
-    docs = docs.drop("pii_entities", "pii_terms")
+    docs = docs.drop(*counts)
     found = contexts(docs, id_col, text_col)
     every = materialize(disclosure(docs, id_col, text_col, found).where(F.col("part") >= GENERALISE), "pii-terms")
     terms = every.where("value IS NULL").groupBy("class", "term").agg(F.max("part").alias("part"))
@@ -292,10 +292,10 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
     own = materialize(own, "pii-own")
     out = docs.withColumn(text_col, F.make_valid_utf8(F.col(f"`{text_col}`").cast("string")))
     out = out.withColumn("__pii_key", F.xxhash64(F.col(f"`{text_col}`"))).join(F.broadcast(own) if own.count() <= TEXT_ROWS else own, "__pii_key", "left").select(*[F.col(f"`{c}`") for c in docs.columns], "__pii_own")
-    return _apply(out, docs.columns, text_col, length_col, chosen)
+    return _apply(out, docs.columns, text_col, length_col, chosen, counts)
 
 
-def _apply(docs: DataFrame, names: list[str], text_col: str, length_col: str | None, chosen: dict[str, dict[str, bool]]) -> DataFrame:
+def _apply(docs: DataFrame, names: list[str], text_col: str, length_col: str | None, chosen: dict[str, dict[str, bool]], counts: tuple[str, str]) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(chosen)
     at = names.index(text_col)
     long_at = names.index(length_col) if length_col in names else None
@@ -318,10 +318,12 @@ def _apply(docs: DataFrame, names: list[str], text_col: str, length_col: str | N
                 if long_at is not None:
                     changed = found.sum(axis=0) > 0
                     columns[long_at] = pc.if_else(pa.array(changed), pc.utf8_length(columns[at]).cast(columns[long_at].type), columns[long_at])
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(found[0]), pa.array(found[1])], [*names, "pii_entities", "pii_terms"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(found[0]), pa.array(found[1])], [f"c{k}" for k in range(len(names) + 2)])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields[: len(names)])
-    return docs.mapInArrow(tidy(run), f"{fields}, pii_entities int, pii_terms int")
+    inner = numbered(docs)
+    n = len(names)
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in inner.schema.fields[:n])
+    return inner.mapInArrow(tidy(run), f"{fields}, c{n} int, c{n + 1} int").toDF(*names, *counts)
 
 
 def op6_pii_sanitisation(spark: SparkSession, sf_dir: str) -> DataFrame:

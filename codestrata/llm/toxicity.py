@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from ..plans.shared import materialize, slices
 from . import _kernels as K
-from ._frames import batched, id_text, release, table, tidy
+from ._frames import batched, id_text, numbered, release, table, tidy
 from ._vocab import distinct_words, sum_by_key, term_df
 
 LABEL_SAMPLE = 20_000
@@ -428,7 +428,8 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
             s, _ = _scores(part.column(at), terms, weights)
             yield part.filter(pa.array(s < cut))
 
-    return docs.mapInArrow(batched(run), docs.schema)
+    inner = numbered(docs)
+    return inner.mapInArrow(batched(run), inner.schema).toDF(*docs.columns)
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
