@@ -9,12 +9,14 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 _local_dir: list[str] = []
+_scratch: list[list[str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -41,12 +43,40 @@ def _drop(path: str) -> None:
     shutil.rmtree(path, ignore_errors=True)
 
 
-def materialize(df: DataFrame, name: str = "table") -> DataFrame:
-    """Write a DataFrame to the shared folder and read it back: lineage ends here."""
+def written(df: DataFrame, name: str = "table") -> tuple[DataFrame, str]:
+    """(a DataFrame written to the shared folder and read back, its path); it stays until it is dropped."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/codestrata/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def materialize(df: DataFrame, name: str = "table") -> DataFrame:
+    """Write a DataFrame to the shared folder and read it back: lineage ends here."""
+    out, path = written(df, name)
+    if _scratch:
+        _scratch[-1].append(path)
+    return out
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Tables that ``materialize`` writes within are dropped at its end, also after an error.
+
+    What is computed from them must be written with ``written`` before.
+    """
+    _scratch.append([])
+    try:
+        yield
+    finally:
+        drop(spark, *_scratch.pop())
+
+
+def drop(spark: SparkSession, *paths: str) -> None:
+    """Delete tables of the shared folder; a path that is gone already is no error."""
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def settled(df: DataFrame, name: str) -> DataFrame:
