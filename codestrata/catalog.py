@@ -274,14 +274,20 @@ def caller_attribution(spark, d):
 
 # -- graphs
 
-_EDGES_SQL = "SELECT DISTINCT p_partkey % 97 AS src, (p_partkey * 31 + 7) % 89 AS dst FROM part WHERE p_partkey % 3 = 0 AND p_partkey < 400"
+# communities of fifty parts, one more for every fifty; of every two neighbouring ones the first leads to the second
+_GRAPH_EDGES_SQL = """SELECT p_partkey AS src, p_partkey // 50 * 50 + (p_partkey * 31 + 7) % 50 AS dst FROM part UNION SELECT p_partkey, p_partkey // 50 * 50 + (p_partkey * 17 + 3) % 50 FROM part WHERE p_partkey % 3 = 0
+UNION SELECT p_partkey, p_partkey + 50 FROM part WHERE p_partkey // 50 % 2 = 0 AND p_partkey % 7 = 0"""
 _NODES_SQL = "SELECT src AS id FROM e UNION SELECT dst FROM e"
+_EDGES_SQL = _GRAPH_EDGES_SQL
 _WITH_EDGES = f"WITH RECURSIVE e AS ({_EDGES_SQL})"
 
 
 def _graph(spark, d):
-    part = _t(spark, d, "part").where("p_partkey % 3 = 0 AND p_partkey < 400")
-    return graph.build(part.select((F.col("p_partkey") % 97).alias("src"), ((F.col("p_partkey") * 31 + 7) % 89).alias("dst")))
+    part = _t(spark, d, "part").select(F.col("p_partkey").alias("src"))
+    block = (F.col("src") - F.col("src") % 50).alias("b")
+    rows = part.select("src", block)
+    edges = rows.select("src", F.expr("b + (src * 31 + 7) % 50 AS dst")).union(rows.where("src % 3 = 0").select("src", F.expr("b + (src * 17 + 3) % 50"))).union(rows.where("b % 100 = 0 AND src % 7 = 0").select("src", F.expr("src + 50")))
+    return graph.build(edges)
 
 
 def _starts(spark):
@@ -325,14 +331,18 @@ def strongly_connected(spark, d):
     return graph.strongly_connected(*_graph(spark, d))
 
 
-_DAG_SQL = "SELECT n_nationkey::BIGINT AS src, (n_nationkey + 3)::BIGINT AS dst FROM nation WHERE n_nationkey + 3 < 25 UNION SELECT n_nationkey, n_nationkey + 5 + n_regionkey FROM nation WHERE n_nationkey + 5 + n_regionkey < 25"
+# paths through blocks of sixteen parts, and a loop of two parts at the start of each: one component
+_DAG_SQL = """SELECT p_partkey AS src, p_partkey + 1 + p_partkey % 3 AS dst FROM part WHERE (p_partkey + 1 + p_partkey % 3) // 16 = p_partkey // 16 UNION SELECT p_partkey, p_partkey - 1 FROM part WHERE p_partkey % 16 = 1 AND p_partkey > 1"""
+_DAG_NODES_SQL = "SELECT p_partkey AS id FROM part UNION SELECT src FROM e UNION SELECT dst FROM e"
 
 
-@query(f"WITH RECURSIVE e AS ({_DAG_SQL}), p(id, n) AS (SELECT n_nationkey::BIGINT, 0 FROM nation UNION SELECT e.dst, n + 1 FROM p JOIN e ON p.id = e.src) SELECT id AS component, max(n)::BIGINT AS level FROM p GROUP BY id")
+@query(f"""WITH RECURSIVE e AS ({_DAG_SQL}), n AS ({_DAG_NODES_SQL}), r(a, b) AS (SELECT id, id FROM n UNION SELECT r.a, e.dst FROM r JOIN e ON r.b = e.src),
+c AS (SELECT x.a AS id, min(x.b) AS component FROM r x JOIN r y ON x.a = y.b AND x.b = y.a GROUP BY x.a), l AS (SELECT DISTINCT a.component AS src, b.component AS dst FROM e JOIN c a ON e.src = a.id JOIN c b ON e.dst = b.id WHERE a.component <> b.component),
+p(id, k) AS (SELECT DISTINCT component, 0 FROM c UNION SELECT l.dst, k + 1 FROM p JOIN l ON p.id = l.src) SELECT id AS component, max(k)::BIGINT AS level FROM p GROUP BY id""")
 def topological_levels(spark, d):
-    nation = _t(spark, d, "nation").select(F.col("n_nationkey").cast("bigint").alias("k"), F.col("n_regionkey").cast("bigint").alias("r"))
-    edges = nation.where("k + 3 < 25").selectExpr("k AS src", "k + 3 AS dst").union(nation.where("k + 5 + r < 25").selectExpr("k", "k + 5 + r"))
-    return graph.topological_levels(*graph.build(edges, nation.select(F.col("k").alias("id"))))
+    part = _t(spark, d, "part").select(F.col("p_partkey").alias("p"))
+    edges = part.select(F.col("p").alias("src"), F.expr("p + 1 + p % 3 AS dst")).where("dst - dst % 16 = src - src % 16").union(part.where("p % 16 = 1 AND p > 1").selectExpr("p", "p - 1"))
+    return graph.topological_levels(*graph.build(edges, part.select(F.col("p").alias("id"))))
 
 
 @query("SELECT DISTINCT 'region/' || n_regionkey || '.ts' AS id FROM nation WHERE n_nationkey = 4")
@@ -426,7 +436,7 @@ def test_failures(spark, d):
     headed = F.concat(F.lit("_____ test_"), u, F.lit("[x] _____\nE  boom\n___ test_b ___\nE  bust\n"))
     marked = F.concat(F.lit("=== RUN\n--- FAIL: Test"), F.col("event_type"), F.lit(" (0.1s)\n"))
     kind = F.expr("event_id % 3")
-    return logs.test_failures(e.select(F.col("event_id").alias("run_id"), F.when(kind == 0, report).when(kind == 1, headed).otherwise(marked).alias("output")))
+    return logs.test_failures(e.select(F.col("event_id").alias("run_id"), F.when(kind == 0, report).when(kind == 1, headed).otherwise(marked).alias("output"))).select("run_id", "name")
 
 
 @query("""SELECT event_id AS log_id, 'src/f' || user_id || '.ts' AS file, (event_id % 90)::BIGINT AS line, 3::BIGINT AS col, 'error' AS severity, 'tsc' AS source, 'TS2339' AS code, 'Property ' || event_type || ' is missing.' AS message FROM events WHERE event_id % 2 = 0
@@ -547,3 +557,6 @@ def fan_out(spark, d):
 
     items = _t(spark, d, "part").select(F.col("p_partkey").alias("index"), F.concat(F.col("p_size").cast("string"), F.lit("|"), "p_type").alias("item"))
     return logs.fan_out(items, shout)
+
+
+from . import catalog_tools  # noqa: E402, F401 - adds its queries to those above

@@ -38,15 +38,27 @@ def contains_ignoring_case(text: Column, part: str) -> Column:
     return F.contains(F.lower(text), F.lit(part.lower()))
 
 
+def shorten(text: Column, most: int = 200) -> Column:
+    """A text cut to a number of characters, with the number of those left out."""
+    rest = F.concat(F.lit("…[+"), (F.length(text) - most).cast("string"), F.lit(" chars]"))
+    return F.when(F.length(text) <= most, text).otherwise(F.concat(F.left(text, F.lit(most)), rest))
+
+
+def fold_path(path: Column, case_sensitive: bool = True) -> Column:
+    """A path by which paths are compared: with slashes only, and in lower case where the file system ignores case."""
+    path = F.replace(path, F.lit("\\"), F.lit("/"))
+    return path if case_sensitive else F.lower(path)
+
+
 def pad_end(text: Column, n: int) -> Column:
     """Padded with blanks to ``n``, never cut."""
     return F.rpad(text, F.greatest(F.lit(n), F.length(text)), F.lit(" "))
 
 
 def line_ending(text: Column) -> Column:
-    """``crlf``, ``lf``, ``mixed`` or ``none``."""
+    """``crlf``, ``lf``, ``mixed`` or ``none``; null for a null text."""
     crlf, lf = F.regexp_count(text, F.lit("\r\n")), F.regexp_count(text, F.lit("\n"))
-    return F.when(lf == 0, "none").when(crlf == 0, "lf").when(crlf == lf, "crlf").otherwise("mixed")
+    return F.when(lf == 0, "none").when(crlf == 0, "lf").when(crlf == lf, "crlf").when(lf > 0, "mixed")
 
 
 def line_count(text: Column) -> Column:

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.lang import FAMILIES, FAMILY_OF, KEYWORDS, SCOPE_KINDS, Imports, Rule
 from ..functions.strip import strip_code
+from ..plans.shared import is_table, materialize
 from ..sources.files import lines
 
 END_LINES = 500
@@ -140,7 +141,7 @@ def imports(texts: DataFrame) -> DataFrame:
         for k, rule in enumerate(family.imports):
             every = _imported(rule, k)
             found.append(F.when(here, every).otherwise(F.slice(every, 1, 0)))
-    rows = lines(texts.where(F.col("language").isin(*sorted(FAMILY_OF))), ("path", "language")).withColumnRenamed("line", "__line")
+    rows = lines(texts.where(F.col("language").isin(*sorted(FAMILY_OF)) & F.col("text").isNotNull()), ("path", "language")).withColumnRenamed("line", "__line")
     # few lines import anything: a plain test first spares the rest the patterns
     rows = rows.where(F.col("__line").rlike(r"import|require|export|\buse\b|using|include|from|source|^\s*\.\s"))
     every = rows.select(F.col("path").alias("from"), F.col("line_no").alias("line"), F.explode(F.concat(*found)).alias("i")).where("i.specifier <> ''")
@@ -164,6 +165,12 @@ def resolve_imports(imports_: DataFrame, files: DataFrame) -> DataFrame:
     return keyed.join(hit, "__at", "left").drop("__at").select("from", "specifier", "to", "names", "is_type_only", "is_dynamic", "line", "ord")
 
 
+def settled_parse(parsed: DataFrame) -> DataFrame:
+    """A parse that is read several times, written once; one that is a table already stays."""
+    kept = parsed.select("path", "stripped", "symbols")
+    return kept if is_table(parsed) else materialize(kept, "parsed")
+
+
 def calls(parsed: DataFrame) -> DataFrame:
     """calls(file, line, callee_text, ord, caller_id, caller_name, callee_id, dynamic).
 
@@ -171,6 +178,7 @@ def calls(parsed: DataFrame) -> DataFrame:
     its caller is the last function whose span has the line, its callee the last symbol of
     that name in the file.
     """
+    parsed = settled_parse(parsed)
     sym = symbols(parsed)
     rows = lines(parsed.where("stripped IS NOT NULL").select("path", F.col("stripped").alias("text")))
     found = rows.select(F.col("path").alias("file"), F.col("line_no").alias("line"), F.posexplode(F.regexp_extract_all("line", F.lit(CALL_FORM), F.lit(1))).alias("pos", "callee_text"))

@@ -33,6 +33,13 @@ def call_graph(symbols: DataFrame, calls: DataFrame) -> tuple[DataFrame, DataFra
     return build(calls.where("caller_id IS NOT NULL AND callee_id IS NOT NULL").select(F.col("caller_id").alias("src"), F.col("callee_id").alias("dst")), symbols.where("kind IN ('function', 'method')").select("id"))
 
 
+def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, outgoing, incoming) of every node."""
+    ends = edges.select(F.col("src").alias("id"), F.lit(1).alias("o"), F.lit(0).alias("i")).union(edges.select("dst", F.lit(0), F.lit(1)))
+    every = nodes.select("id", F.lit(0).alias("o"), F.lit(0).alias("i")).union(ends)
+    return every.groupBy("id").agg(F.sum("o").alias("outgoing"), F.sum("i").alias("incoming"))
+
+
 def pagerank(nodes: DataFrame, edges: DataFrame, iterations: int = 40, tolerance: float = 1e-6, damping: float = DAMPING, between_checks: int = 5) -> DataFrame:
     """ranks(id, score), summing to one. The mass of nodes without edges out is spread evenly.
 
@@ -77,14 +84,16 @@ def reach(edges: DataFrame, starts: DataFrame, backward: bool = False, depth: in
     """
     a, b = ("dst", "src") if backward else ("src", "dst")
     step = materialize(edges.select(F.col(a).alias("id"), F.col(b).alias("next")).distinct(), "reach-edges")
-    front = seen = materialize(starts.select(F.col("id").alias("start"), "id").distinct(), "reach")
+    front = materialize(starts.select(F.col("id").alias("start"), "id").distinct(), "reach")
+    seen = front
     left = depth
     while left is None or left > 0:
         hops = HOPS if left is None else min(HOPS, left)
         front = materialize(_hops(front, step, hops, ["start"]).join(seen, ["start", "id"], "left_anti"), "reach")
         if not front.limit(1).count():
             break
-        seen = materialize(seen.union(front), "reach-seen")
+        # what was found before stays where it was written
+        seen = seen.union(front)
         left = None if left is None else left - hops
     return seen.where("start <> id")
 

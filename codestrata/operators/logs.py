@@ -25,13 +25,32 @@ def test_counts(runs: DataFrame) -> DataFrame:
     return runs.select("run_id", *[F.when(go, F.regexp_count("output", F.lit(m)).cast("bigint")).otherwise(_number(summary, label)).alias(label) for label, m in marks.items()])
 
 
-def test_failures(runs: DataFrame) -> DataFrame:
-    """(run_id, name): failed tests of JSON reports, of underlined headings and of Go markers, at most fifty a run."""
-    report = F.from_json("output", "testResults ARRAY<STRUCT<name STRING, assertionResults ARRAY<STRUCT<fullName STRING, title STRING, status STRING>>>>")
-    from_json = F.transform(F.filter(F.flatten(F.transform(report["testResults"], lambda t: t["assertionResults"])), lambda a: a["status"] == "failed"), lambda a: F.coalesce(a["fullName"], a["title"]))
-    headed = F.regexp_extract_all("output", F.lit(r"(?m)^_{2,}\s+(\S.*?)\s+_{2,}\s*$"), F.lit(1))
-    marked = F.regexp_extract_all("output", F.lit(r"--- FAIL:\s+(\S+)"), F.lit(1))
-    return runs.select("run_id", F.explode(F.slice(F.coalesce(from_json, F.concat(headed, marked)), 1, MOST_FAILURES)).alias("name"))
+def test_failures(runs: DataFrame, most: int = MOST_FAILURES) -> DataFrame:
+    """(run_id, name, file, message): failed tests of JSON reports, of underlined headings (with what stands under them)
+    and of Go markers, at most so many a run; the file only where the report names it, messages up to 500 characters."""
+    report = F.from_json("output", "testResults ARRAY<STRUCT<name STRING, assertionResults ARRAY<STRUCT<fullName STRING, title STRING, status STRING, failureMessages ARRAY<STRING>>>>>")
+    none = F.lit(None).cast("string")
+
+    def row(name: Column, file: Column, message: Column) -> Column:
+        return F.struct(name.alias("name"), file.alias("file"), F.left(message, F.lit(500)).alias("message"))
+
+    def of_file(t: Column) -> Column:
+        failed = F.filter(t["assertionResults"], lambda a: a["status"] == "failed")
+        return F.transform(failed, lambda a: row(F.coalesce(a["fullName"], a["title"]), t["name"], F.coalesce(F.try_element_at(a["failureMessages"], F.lit(1)), F.lit(""))))
+
+    from_json = F.flatten(F.transform(report["testResults"], of_file))
+    heading = r"(?m)^_{2,}\s+(\S.*?)\s+_{2,}\s*$"
+    names = F.regexp_extract_all("output", F.lit(heading), F.lit(1))
+    # the pieces between headings: what is under the first heading is the second piece
+    under = F.slice(F.split("output", r"(?m)^_{2,}\s+\S.*?\s+_{2,}\s*$"), 2, 1_000_000)
+    headed = F.transform(F.arrays_zip(names.alias("n"), under.alias("u")), lambda x: row(x["n"], none, F.trim(F.regexp_replace(F.coalesce(x["u"], F.lit("")), r"^\s+|\s+$", ""))))
+    marked = F.transform(F.regexp_extract_all("output", F.lit(r"--- FAIL:\s+(\S+)"), F.lit(1)), lambda n: row(n, none, F.lit("")))
+    return runs.select("run_id", F.explode(F.slice(F.coalesce(from_json, F.concat(headed, marked)), 1, most)).alias("f")).select("run_id", "f.name", "f.file", "f.message")
+
+
+def diagnostic_counts(found: DataFrame) -> DataFrame:
+    """(source, errors, warnings, files) of diagnostics."""
+    return found.groupBy("source").agg(F.count_if(F.col("severity") == "error").alias("errors"), F.count_if(F.col("severity") == "warning").alias("warnings"), F.count_distinct("file").alias("files"))
 
 
 def diagnostics(logs: DataFrame) -> DataFrame:

@@ -14,11 +14,26 @@ FIRST_SYMBOLS = 20
 MAP_ITERATIONS = 30
 
 
+SEARCH_LIMIT = 20
+
+
+def is_pattern(pattern: str, spark) -> bool:
+    """Whether the engine takes a pattern."""
+    try:
+        spark._jvm.java.util.regex.Pattern.compile(pattern)
+    except Exception:  # noqa: BLE001 - any refusal means no
+        return False
+    return True
+
+
 def search(texts: DataFrame, pattern: str, literal: bool = False, limit: int | None = None) -> DataFrame:
-    """(path, line_no, preview) of the lines that match, in any case; ordered only if limited."""
+    """(path, line_no, preview) of the lines that match, in any case; ordered only if limited. A pattern that is none gives no rows."""
+    if not literal and not is_pattern(pattern, texts.sparkSession):
+        texts, pattern = texts.where(F.lit(False)), ""
     hit = F.contains(F.lower("line"), F.lit(pattern.lower())) if literal else F.col("line").rlike("(?iu)" + pattern)
-    # texts without a match are dropped before they are cut into lines
-    whole = F.contains(F.lower("text"), F.lit(pattern.lower())) if literal else F.col("text").rlike("(?ium)" + pattern)
+    # texts without a match are dropped before they are cut into lines; marks of a whole text's ends mean a line's here
+    bound = not literal and re.search(r"\\[AzZG]|\(\?[<=!]|\(\?-", pattern)
+    whole = F.contains(F.lower("text"), F.lit(pattern.lower())) if literal else F.lit(True) if bound else F.col("text").rlike("(?ium)" + pattern)
     out = lines(texts.where(whole)).where(hit).select("path", "line_no", T.preview(F.col("line")).alias("preview"))
     return out.orderBy("path", "line_no").limit(limit) if limit is not None else out
 
@@ -70,11 +85,11 @@ def within_budget(rows: DataFrame, tokens: str, budget: int, order: list[Column]
     return run.where((F.col("running_tokens") <= budget) | (F.col("position") == 1))
 
 
-def outline(symbols: DataFrame) -> DataFrame:
+def outline(symbols: DataFrame, first_symbols: int = FIRST_SYMBOLS) -> DataFrame:
     """(path, outline): the first symbols of each file as ``+Fname`` marks, in order."""
     w = Window.partitionBy("file").orderBy("ord")
     mark = F.concat(F.when(F.col("exported"), "+").otherwise(" "), F.upper(F.left("kind", F.lit(1))), "qualname")
-    first = symbols.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= FIRST_SYMBOLS).select("file", F.struct("rn", mark.alias("mark")).alias("m"))
+    first = symbols.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= first_symbols).select("file", F.struct("rn", mark.alias("mark")).alias("m"))
     return first.groupBy(F.col("file").alias("path")).agg(F.array_join(F.transform(F.array_sort(F.collect_list("m")), lambda x: x["mark"]), " ").alias("outline"))
 
 
@@ -96,22 +111,31 @@ def related_files(imports: DataFrame, focus: DataFrame) -> DataFrame:
     return ids.union(out).union(back).distinct()
 
 
-def context_pack(files: DataFrame, imports: DataFrame, symbols: DataFrame, focus: DataFrame, max_tokens: int = 8192) -> DataFrame:
-    """The map of the files related to a focus, in 30 % of the budget, with all their symbols' outlines."""
+def context_pack(files: DataFrame, imports: DataFrame, symbols: DataFrame, focus: DataFrame, max_tokens: int = 8192, iterations: int = MAP_ITERATIONS) -> DataFrame:
+    """The map of the files related to a focus, in 30 % of the budget: (path, score, entry, tokens, running_tokens,
+    position, all_symbols), the last the list of every symbol of a file in focus.
+
+    Ranks are those of the related files among themselves, over the imports between them.
+    """
     from . import graph
 
-    related = related_files(imports, focus)
-    part = imports.join(related.withColumnRenamed("path", "from"), "from", "left_semi")
-    nodes, edges = graph.file_graph(related, part)
-    ranks = graph.pagerank(nodes, edges, MAP_ITERATIONS)
-    return repo_map(ranks, symbols, int(max_tokens * 0.3), [r["path"] for r in focus.collect()])
+    related = files.join(related_files(imports, focus), "path", "left_semi").select("path")
+    inner = imports.join(related.withColumnRenamed("path", "from"), "from", "left_semi").join(related.withColumnRenamed("path", "to"), "to", "left_semi")
+    nodes, edges = graph.file_graph(related, inner)
+    ranks = graph.pagerank(nodes, edges, iterations)
+    marked = focus.select(F.col("path").alias("id"), F.lit(1.0).alias("extra")).distinct()
+    ranks = ranks.join(marked, "id", "left").select("id", (F.col("score") + F.coalesce("extra", F.lit(0.0))).alias("score"))
+    rows = repo_map(ranks, symbols, int(max_tokens * 0.3))
+    named = F.struct("ord", F.concat_ws(" ", "kind", "qualname").alias("s"))
+    whole = symbols.join(focus.withColumnRenamed("path", "file"), "file", "left_semi").groupBy(F.col("file").alias("path")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(named)), lambda x: x["s"]), ", ").alias("all_symbols"))
+    return rows.join(whole, "path", "left")
 
 
 def rename_preview(texts: DataFrame, affected: DataFrame, old: str, new: str) -> DataFrame:
     """(path, line_no, before, after) of the lines of affected files in which a name would change; nothing is written."""
     word = r"(?<![\w$])" + re.escape(old) + r"(?![\w$])"
     rows = lines(texts.join(affected.select("path"), "path", "left_semi").where(F.contains("text", F.lit(old))))
-    return rows.where(F.col("line").rlike(word)).select("path", "line_no", T.preview(F.col("line"), 100).alias("before"), T.preview(F.regexp_replace("line", word, new.replace("$", r"\$")), 100).alias("after"))
+    return rows.where(F.col("line").rlike(word)).select("path", "line_no", T.preview(F.col("line"), 100).alias("before"), T.preview(F.regexp_replace("line", word, re.sub(r"([\\$])", r"\\\1", new)), 100).alias("after"))
 
 
 def affected_files(symbols: DataFrame, calls: DataFrame, imports: DataFrame, name: str) -> DataFrame:

@@ -22,6 +22,23 @@ SECRETS: dict[str, str] = {
     "private_key": r"(-----BEGIN [A-Z ]*PRIVATE KEY-----)",
     "slack_token": r"\b(xox[abprs]-[A-Za-z0-9-]{10,})",
     "stripe_key": r"\b([rs]k_(?:live|test)_[A-Za-z0-9]{16,})",
+    "age_key": r"\b(AGE-SECRET-KEY-1[0-9A-Z]{50,})",
+    "azure_storage_key": r"AccountKey=([A-Za-z0-9+/]{60,}={0,2})",
+    "digitalocean_token": r"\b(do[opr]_v1_[a-f0-9]{40,})",
+    "docker_token": r"\b(dckr_pat_[A-Za-z0-9_-]{20,})",
+    "gitlab_token": r"\b(glpat-[A-Za-z0-9_-]{20,})",
+    "google_oauth": r"\b(ya29\.[A-Za-z0-9_-]{20,})",
+    "huggingface_token": r"\b(hf_[A-Za-z0-9]{30,})",
+    "linear_key": r"\b(lin_api_[A-Za-z0-9]{30,})",
+    "mailgun_key": r"\b(key-[a-f0-9]{32})\b",
+    "npm_token": r"\b(npm_[A-Za-z0-9]{36})\b",
+    "pypi_token": r"\b(pypi-[A-Za-z0-9_-]{40,})",
+    "sendgrid_key": r"\b(SG\.[A-Za-z0-9_-]{16,}\.[A-Za-z0-9_-]{16,})",
+    "shopify_token": r"\b(shp(?:at|ca|pa|ss)_[a-fA-F0-9]{32})\b",
+    "slack_webhook": r"(https://hooks\.slack\.com/services/[A-Za-z0-9/]{20,})",
+    "square_token": r"\b(sq0(?:atp|csp)-[A-Za-z0-9_-]{22,})",
+    "telegram_token": r"\b([0-9]{8,10}:AA[A-Za-z0-9_-]{33})",
+    "url_password": r"\b[a-z][a-z0-9+.-]{1,20}://[^\s:/@]{1,64}:([^\s:/@]{3,128})@",
 }
 INJECTION: tuple[str, ...] = (
     r"(?i)\b(ignore|disregard|forget)\s+(all\s+|any\s+)?(the\s+|your\s+)?(previous|prior|above|earlier)\s+(instructions?|prompts?|rules?)",
@@ -45,8 +62,19 @@ def _found(kind: str, pattern: str) -> Column:
     return F.transform(F.regexp_extract_all("line", F.lit(pattern), F.lit(1)), lambda s: F.struct(F.lit(kind).alias("kind"), s.alias("s")))
 
 
-def scan_secrets(texts: DataFrame, keep: str = "path") -> DataFrame:
-    """findings(file, line, kind, redacted); texts without any secret are dropped before they are cut into lines."""
+def scan_secrets(texts: DataFrame, keep: str = "path", entropy_from: float | None = None, least: int = 24) -> DataFrame:
+    """findings(file, line, kind, redacted); texts without any secret are dropped before they are cut into lines.
+
+    ``entropy_from``: words of ``least`` letters, digits and marks or more that no detector
+    took are found too, as ``high_entropy``, if they have as many bits a character.
+    """
+    if entropy_from is not None:
+        word = r"(?<![A-Za-z0-9+/=_-])([A-Za-z0-9+/=_-]{%d,})" % least
+        known = F.flatten(F.array(*[F.regexp_extract_all("line", F.lit(p), F.lit(1)) for p in SECRETS.values()]))
+        long = lines(texts.where(F.col("text").rlike(word)), (keep,)).where(F.col("line").rlike(word))
+        other = F.array_except(F.regexp_extract_all("line", F.lit(word), F.lit(1)), known)
+        words = long.select(F.col(keep).alias("file"), F.col("line_no").alias("line"), F.explode(other).alias("s")).where(entropy(F.col("s")) >= entropy_from)
+        return scan_secrets(texts, keep).union(words.select("file", "line", F.lit("high_entropy").alias("kind"), redacted(F.col("s")).alias("redacted")))
     rows = lines(texts.where(F.col("text").rlike(_any())), (keep,))
     found = F.concat(*[_found(k, p) for k, p in sorted(SECRETS.items())])
     each = rows.where(F.col("line").rlike(_any())).select(F.col(keep).alias("file"), F.col("line_no").alias("line"), F.explode(found).alias("f"))
@@ -90,6 +118,13 @@ def audit(manifests: DataFrame) -> DataFrame:
     return unpinned.union(typosquats(deps))
 
 
+def risk_counts(manifests: DataFrame) -> DataFrame:
+    """One row: dependencies, and risks of each kind."""
+    deps = dependencies(manifests).agg(F.count("*").alias("dependencies"))
+    risks = audit(manifests).agg(*[F.count_if(F.col("risk") == r).alias(r) for r in ("typosquat", "unpinned")], F.count("*").alias("risks"))
+    return deps.crossJoin(F.broadcast(risks))  # one row
+
+
 def typosquats(deps: DataFrame) -> DataFrame:
     near = F.lit(False)
     for known in KNOWN_PACKAGES:

@@ -40,6 +40,26 @@ def memory_forget(memory: DataFrame, what: str) -> DataFrame:
     return memory.where(~gone)
 
 
+def forgotten(memory: DataFrame, what: str) -> DataFrame:
+    """One row: how many entries ``memory_forget`` removes."""
+    return memory.agg(F.count("*").alias("a")).crossJoin(memory_forget(memory, what).agg(F.count("*").alias("b"))).select((F.col("a") - F.col("b")).alias("removed"))
+
+
+def save(store: DataFrame, path: str) -> None:
+    """Write a store under a path, whole or not at all."""
+    from .index import save as saved
+
+    saved(store, path, "store")
+
+
+def load(spark, path: str, schema: str) -> DataFrame:
+    """The store saved under a path; an empty one where there is none or it can't be read."""
+    from .index import load as loaded
+
+    rows = loaded(spark, path, "store")
+    return spark.createDataFrame([], schema) if rows is None else rows
+
+
 def task_status(tasks: DataFrame, deps: DataFrame) -> DataFrame:
     """(id, state): pending tasks are ready if all they depend on is completed, else blocked."""
     done = tasks.select(F.col("id").alias("depends_on"), (F.col("status") == "completed").alias("done"))
@@ -48,6 +68,11 @@ def task_status(tasks: DataFrame, deps: DataFrame) -> DataFrame:
     return tasks.join(open_, "id", "left").select("id", state.alias("state"))
 
 
+def next_task(tasks: DataFrame, deps: DataFrame, order: str = "id") -> DataFrame:
+    """The ready task that comes first in an order, as one row or none."""
+    return task_status(tasks, deps).where("state = 'ready'").join(tasks.select("id", F.col(order).alias("__order")), "id").agg(F.min_by("id", F.struct("__order", "id")).alias("id")).where("id IS NOT NULL")
+
+
 def task_counts(tasks: DataFrame, deps: DataFrame) -> DataFrame:
     return task_status(tasks, deps).groupBy("state").agg(F.count("*").alias("tasks"))
 
@@ -83,9 +108,19 @@ def task_problems(new: DataFrame, deps: DataFrame, stored: DataFrame | None = No
 
 
 def snapshot(files: DataFrame, snapshot_id: str, at: Column, most_bytes: int = SNAPSHOT_BYTES) -> DataFrame:
-    """(snapshot_id, created_at, path, content, size_bytes) of files in order of path until the bytes before reach a cap."""
-    before = F.coalesce(F.sum("size_bytes").over(Window.partitionBy(F.lit(1)).orderBy("path").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return files.withColumn("before", before).where(F.col("before") < most_bytes).select(F.lit(snapshot_id).alias("snapshot_id"), at.alias("created_at"), "path", "content", "size_bytes")
+    """(snapshot_id, created_at, path, content, size_bytes) of files in order of path until the bytes before reach a cap.
+
+    Only paths and sizes are put in order, and of these only as many as the cap may take:
+    no path beyond the first whose bytes, added up over coarse ranges of paths, reach it.
+    """
+    sizes = files.select("path", "size_bytes")
+    near = F.left("path", F.lit(3))
+    coarse = sizes.groupBy(near.alias("range")).agg(F.sum("size_bytes").alias("b"))
+    run = coarse.select("range", F.coalesce(F.sum("b").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    some = sizes.withColumn("range", near).join(run.where(F.col("before") < most_bytes), "range")
+    inner = F.coalesce(F.sum("size_bytes").over(Window.partitionBy("range").orderBy("path").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    chosen = some.withColumn("all", F.col("before") + inner).where(F.col("all") < most_bytes).select("path")
+    return files.join(chosen, "path", "left_semi").select(F.lit(snapshot_id).alias("snapshot_id"), at.alias("created_at"), "path", "content", "size_bytes")
 
 
 def snapshots(store: DataFrame) -> DataFrame:

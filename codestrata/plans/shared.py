@@ -79,6 +79,12 @@ def drop(spark: SparkSession, *paths: str) -> None:
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def is_table(df: DataFrame) -> bool:
+    """Whether a DataFrame is a written table as it is, read back with no further work than a projection."""
+    plan = df._jdf.queryExecution().optimizedPlan()
+    return plan.children().isEmpty() and "Relation" in plan.nodeName() or plan.nodeName() == "Project" and plan.children().head().children().isEmpty() and "Relation" in plan.children().head().nodeName()
+
+
 def settled(df: DataFrame, name: str) -> DataFrame:
     """A DataFrame whose partitions hold the same rows in the same order whenever they are
     computed again: itself if it is a narrow plan over files, else a written table.
