@@ -382,26 +382,12 @@ def budget_map(spark, d):
     return retrieve.within_budget(rows, "tokens", 20_000, [F.desc("n_chars"), F.asc("doc_id")], ["source"]).drop("n_chars")
 
 
-@query(None)
-def repo_map(spark, d):
-    code = _code(spark, d)
-    nodes, edges = graph.file_graph(code, _imports(spark, d))
-    ranks = graph.pagerank(nodes, edges, retrieve.MAP_ITERATIONS)
-    return retrieve.repo_map(ranks, extract.symbols(extract.parse(code)), 2048, ["nation/1.ts"])
-
-
 @query("""WITH f AS (SELECT 'nation/7.ts' AS p), i AS (SELECT 'nation/' || n_nationkey || '.ts' AS a, 'region/' || n_regionkey || '.ts' AS b FROM nation)
 SELECT p AS path FROM f UNION SELECT b FROM i, f WHERE a = p UNION SELECT a FROM i, f WHERE b = p""")
 def related_files(spark, d):
     return retrieve.related_files(_imports(spark, d), spark.createDataFrame([("nation/7.ts",)], "path string"))
 
 
-@query(None)
-def context_pack(spark, d):
-    code = _code(spark, d)
-    return retrieve.context_pack(code, _imports(spark, d), extract.symbols(extract.parse(code)), spark.createDataFrame([("region/2.ts",)], "path string"), 2000)
-
-
 @query("SELECT o_orderkey, o_totalprice, (SELECT count(*) FROM orders) AS total, 75::BIGINT AS next_cursor FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 25 OFFSET 50")
 def page(spark, d):
     return retrieve.page(_t(spark, d, "orders").select("o_orderkey", "o_totalprice", (-F.col("o_totalprice")).alias("neg")), ["neg", "o_orderkey"], 25, 50).drop("neg")

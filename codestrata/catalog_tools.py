@@ -156,22 +156,22 @@ UNION ALL SELECT 'customer/' || c_custkey || '.py', c_custkey || '.py   Fc_' ||
 
 
 @query(f"""SELECT path, entry, tokens, running_tokens::BIGINT AS running_tokens, position::INT AS position FROM (SELECT *, sum(tokens) OVER w AS running_tokens, row_number() OVER w AS position
-FROM (SELECT *, ceil(length(entry) / 4.0)::BIGINT AS tokens, CASE path WHEN 'nation/1.ts' THEN 2 ELSE high END AS rank FROM ({_MAP_ROWS})) WINDOW w AS (ORDER BY rank DESC, path ROWS UNBOUNDED PRECEDING)) WHERE running_tokens <= 900 OR position = 1""")
-def repo_map_in_budget(spark, d):
-    """Six rounds of rank put every region before what nothing imports; ties go by path, the file in focus first."""
+FROM (SELECT *, ceil(length(entry) / 4.0)::BIGINT AS tokens, CASE path WHEN 'nation/1.ts' THEN 2 ELSE high END AS rank FROM ({_MAP_ROWS})) WINDOW w AS (ORDER BY rank DESC, path ROWS UNBOUNDED PRECEDING)) WHERE running_tokens <= 2048 OR position = 1""")
+def repo_map(spark, d):
+    """Ranks put every region before what nothing imports; ties go by path, the file in focus first."""
     code = _code(spark, d)
     nodes, edges = graph.file_graph(code, _imports(spark, d))
-    ranks = graph.pagerank(nodes, edges, 6, tolerance=0.0).select("id", F.round("score", 9).alias("score"))
-    return retrieve.repo_map(ranks, extract.symbols(extract.parse(code)), 900, ["nation/1.ts"]).drop("score")
+    ranks = graph.pagerank(nodes, edges, retrieve.MAP_ITERATIONS).select("id", F.round("score", 9).alias("score"))
+    return retrieve.repo_map(ranks, extract.symbols(extract.parse(code)), 2048, ["nation/1.ts"]).drop("score")
 
 
 @query(f"""WITH rel AS (SELECT 'region/2.ts' AS path, 2 AS rank UNION ALL SELECT 'nation/' || n_nationkey || '.ts', 0 FROM nation WHERE n_regionkey = 2)
 SELECT path, entry, tokens, running_tokens::BIGINT AS running_tokens, position::INT AS position, CASE path WHEN 'region/2.ts' THEN 'function r' END AS all_symbols FROM (SELECT *, sum(tokens) OVER w AS running_tokens, row_number() OVER w AS position
 FROM (SELECT path, rank, entry, ceil(length(entry) / 4.0)::BIGINT AS tokens FROM ({_MAP_ROWS}) JOIN rel USING (path)) WINDOW w AS (ORDER BY rank DESC, path ROWS UNBOUNDED PRECEDING)) WHERE running_tokens <= 30 OR position = 1""")
-def context_pack_in_budget(spark, d):
+def context_pack(spark, d):
     code = _code(spark, d)
     focus = spark.createDataFrame([("region/2.ts",)], "path string")
-    return retrieve.context_pack(code, _imports(spark, d), extract.symbols(extract.parse(code)), focus, 100, 6).drop("score")
+    return retrieve.context_pack(code, _imports(spark, d), extract.symbols(extract.parse(code)), focus, 100).drop("score")
 
 
 # -- languages

@@ -10,11 +10,8 @@ def test_query_matches_its_oracle(spark, small, name):
     assert rows_of_query(catalog.QUERIES[name](spark, small)) == rows_of_sql(catalog.ORACLES[name], small)
 
 
-@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLES)))
-def test_query_without_oracle_has_rows(spark, small, name):
-    rows = catalog.QUERIES[name](spark, small).collect()
-    assert rows and rows[0]["position"] >= 1
-    assert all(r["running_tokens"] <= 2048 or r["position"] == 1 for r in rows)
+def test_every_query_has_an_oracle():
+    assert set(catalog.QUERIES) == set(catalog.ORACLES)
 
 
 def test_entry(spark):
