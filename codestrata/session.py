@@ -37,13 +37,14 @@ BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 def ship(spark: SparkSession) -> SparkSession:
     """Make this package importable by the Python workers of a session.
 
-    Arrow batches are set to 2,000 rows where the application names no number: rows here
+    Arrow batches are set to 2,000 rows where neither application nor session names a number: rows here
     hold whole texts, and an executor keeps several batches of each task in memory.
 
     Nothing is done where PYTHONPATH already leads to it; otherwise the package is
     zipped once per application and distributed by the driver's file server.
     """
-    if not spark.sparkContext.getConf().contains(BATCH_ROWS):
+    set_here = spark._jsparkSession.sessionState().conf().settings().containsKey(BATCH_ROWS)
+    if not set_here and not spark.sparkContext.getConf().contains(BATCH_ROWS):
         spark.conf.set(BATCH_ROWS, "2000")
     root = str(PACKAGE.parent)
     if root in os.environ.get("PYTHONPATH", "").split(os.pathsep) or os.path.samefile(os.getcwd(), root):
@@ -53,7 +54,7 @@ def ship(spark: SparkSession) -> SparkSession:
         return spark
     target = Path(tempfile.mkdtemp(prefix="codestrata-ship-")) / f"{PACKAGE.name}.zip"
     with zipfile.ZipFile(target, "w") as z:
-        for p in sorted(PACKAGE.rglob("*.py")):
+        for p in sorted([*PACKAGE.rglob("*.py"), *PACKAGE.rglob("*.txt")]):
             z.write(p, p.relative_to(PACKAGE.parent))
     sc.addPyFile(str(target))
     sc._codestrata_shipped = True
