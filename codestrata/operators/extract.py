@@ -194,10 +194,27 @@ def calls(parsed: DataFrame) -> DataFrame:
 
 
 def attribute_lines(points: DataFrame, spans: DataFrame, key: str, at: str, low: str, high: str, order: str, value: str) -> DataFrame:
-    """For each point the value of the last span (by ``order``) around it within its key, null where none."""
-    p, s = points.alias("p"), spans.alias("s")
-    joined = p.join(s, (F.col(f"p.{key}") == F.col(f"s.{key}")) & F.col(f"p.{at}").between(F.col(f"s.{low}"), F.col(f"s.{high}")), "left")
-    return joined.groupBy(*[F.col(f"p.{c}") for c in points.columns]).agg(F.max_by(f"s.{value}", f"s.{order}").alias(value))
+    """For each point the value of the last span (by ``order``) around it within its key, null where none.
+
+    Positions are whole numbers. A span is cut into aligned blocks of powers of two, two of a size at most,
+    and only the last span of a block is kept; a place looks up the one block of each size around it.
+    So work grows with points and spans, and not with their pairs. Of equal orders the greatest value counts.
+    """
+    start, after = F.col(low).cast("bigint"), F.col(high).cast("bigint") + 1
+    some = spans.where(F.col(order).isNotNull() & F.col(key).isNotNull() & (F.col(low) <= F.col(high))).select(F.col(key).alias("__k"), start.alias("__a"), after.alias("__b"), F.struct(F.col(order), F.col(value)).alias("__v"))
+    sizes = lambda length: F.sequence(F.lit(0), F.ceil(F.log2(length)).cast("int"))
+    sized = some.select("__k", "__a", "__b", "__v", F.explode(sizes(F.col("__b") - F.col("__a"))).alias("__n"))
+    first, end = F.expr("-shiftright(-__a, __n)"), F.expr("shiftright(__b, __n)")
+    cut = sized.select("__k", "__n", "__v", first.alias("f"), end.alias("e")).where("f < e")
+    ends = F.array_compact(F.array(F.when(F.expr("f & 1 = 1"), F.col("f")), F.when(F.expr("e & 1 = 1"), F.col("e") - 1)))
+    blocks = cut.select("__k", "__n", "__v", F.explode(ends).alias("__i")).groupBy("__k", "__n", "__i").agg(F.max("__v").alias("__v"))
+    # one row: the longest span
+    longest = some.agg(F.max(F.col("__b") - F.col("__a")).alias("__most"))
+    places = points.select(F.col(key).alias("__k"), F.col(at).cast("bigint").alias("__at")).where("__k IS NOT NULL AND __at IS NOT NULL").distinct()
+    asked = places.crossJoin(F.broadcast(longest)).select("__k", "__at", F.explode(sizes(F.col("__most"))).alias("__n"))
+    found = asked.withColumn("__i", F.expr("shiftright(__at, __n)")).join(blocks, ["__k", "__n", "__i"]).groupBy("__k", "__at").agg(F.max("__v").alias("__v"))
+    out = points.distinct().join(found, (F.col(key) == F.col("__k")) & (F.col(at) == F.col("__at")), "left")
+    return out.select(*points.columns, F.col("__v")[value].alias(value))
 
 
 def index_stats(texts: DataFrame, parsed: DataFrame, imports_: DataFrame, calls_: DataFrame) -> DataFrame:

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
@@ -92,6 +94,43 @@ def test_detectors(spark):
     assert texts.select(security.entropy(F.lit("abcd")).alias("e")).first()["e"] == pytest.approx(2.0)
 
 
+def test_attributed_lines_equal_a_plain_search(spark):
+    rng = random.Random(3)
+    spans = [(i, rng.choice("ab"), low, low + rng.choice([-1, 0, 1, 7, 40, 300]), i * 37 % 101) for i, low in enumerate(rng.choices(range(-70, 200), k=60))]
+    spans += [(90, "a", None, 5, 90), (91, "b", 0, 50, None), (92, None, 0, 50, 92)]
+    points = [(i, k, at) for i, (k, at) in enumerate([(k, at) for k in ("a", "b", "c") for at in range(-90, 530, 3)] + [(None, 1), ("a", None)])]
+
+    def last(k, at):
+        around = [(o, v) for v, f, low, high, o in spans if None not in (k, at, low, o) and f == k and low <= at <= high]
+        return max(around)[1] if around else None
+
+    p, s = spark.createDataFrame(points, "p int, f string, at int"), spark.createDataFrame(spans, "v int, f string, low int, high int, o int")
+    got = extract.attribute_lines(p, s, "f", "at", "low", "high", "o", "v").collect()
+    assert sorted((r["p"], r["v"]) for r in got if r["v"] is not None) == [(i, last(k, at)) for i, k, at in points if last(k, at) is not None]
+    assert len(got) == len(points)
+    assert all(r["v"] is None for r in extract.attribute_lines(p, s.limit(0), "f", "at", "low", "high", "o", "v").collect())
+
+
+def test_attribution_makes_no_row_for_each_pair_of_point_and_span(spark):
+    points, spans = spark.range(4000).selectExpr("id AS p", "0 AS f", "id % 400 AS at"), spark.range(4000).selectExpr("id AS v", "0 AS f", "0 AS low", "id % 400 AS high", "id AS o")
+    out = extract.attribute_lines(points, spans, "f", "at", "low", "high", "o", "v")
+    assert out.count() == 4000
+    made = []
+
+    def rows_of(plan):
+        if "FinalPhysical" in plan.nodeName() or plan.nodeName() == "AdaptiveSparkPlan":
+            plan = plan.executedPlan()
+        rows = plan.metrics().get("numOutputRows")
+        made.append(rows.get().value() if rows.isDefined() else 0)
+        inner = [plan.plan()] if hasattr(plan, "plan") and "QueryStage" in plan.nodeName() else []
+        for child in [plan.children().apply(i) for i in range(plan.children().size())] + inner:
+            rows_of(child)
+
+    out.collect()
+    rows_of(out._jdf.queryExecution().executedPlan())
+    assert max(made) < 100_000  # the pairs are eight million
+
+
 def test_errors():
     assert as_error(FileNotFoundError(2, "x")).code == "PATH_NOT_FOUND"
     assert as_error(ValueError("x")).as_dict() == {"code": "INTERNAL_ERROR", "message": "x"}
