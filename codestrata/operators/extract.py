@@ -185,9 +185,8 @@ def calls(parsed: DataFrame) -> DataFrame:
     found = found.where(~F.col("callee_text").isin(*sorted(KEYWORDS)))
     declared = sym.select("file", F.col("start_line").alias("line"), F.col("name").alias("callee_text")).distinct()
     found = found.join(declared, ["file", "line", "callee_text"], "left_anti").withColumn("ord", F.col("line") * 10_000 + F.col("pos"))
-    spans = sym.where("kind IN ('function', 'method')").select(F.col("file").alias("f"), "start_line", "end_line", "id", "qualname", F.col("ord").alias("o"))
-    around = found.join(spans, (F.col("file") == F.col("f")) & F.col("line").between(F.col("start_line"), F.col("end_line")), "left")
-    caller = around.groupBy("file", "line", "callee_text", "ord").agg(F.max_by(F.struct("id", "qualname"), "o").alias("c"))
+    spans = sym.where("kind IN ('function', 'method')").select("file", "start_line", "end_line", "ord", F.struct("id", "qualname").alias("c"))
+    caller = attribute_lines(found, spans, "file", "line", "start_line", "end_line", "ord", "c")
     target = sym.groupBy("file", F.col("name").alias("callee_text")).agg(F.max_by("id", "ord").alias("callee_id"))
     out = caller.join(target, ["file", "callee_text"], "left")
     return out.select(F.col("c.id").alias("caller_id"), F.coalesce("c.qualname", F.lit("<module>")).alias("caller_name"), "file", "line", "callee_text", "callee_id", F.col("callee_id").isNull().alias("dynamic"), "ord")
