@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.shared import materialize
+from ..plans.shared import drop, materialize, written
 
 DAMPING = 0.85
 HOPS = 4
@@ -26,7 +26,9 @@ def build(edges: DataFrame, nodes: DataFrame | None = None) -> tuple[DataFrame,
 
 
 def file_graph(files: DataFrame, imports: DataFrame) -> tuple[DataFrame, DataFrame]:
-    return build(imports.where(F.col("to").isNotNull()).select(F.col("from").alias("src"), F.col("to").alias("dst")), files.select(F.col("path").alias("id")))
+    """The graph of imports; they are extracted once, since nodes and edges are read several times."""
+    links = materialize(imports.where(F.col("to").isNotNull()).select(F.col("from").alias("src"), F.col("to").alias("dst")), "file-edges")
+    return build(links, files.select(F.col("path").alias("id")))
 
 
 def call_graph(symbols: DataFrame, calls: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -43,28 +45,41 @@ def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def pagerank(nodes: DataFrame, edges: DataFrame, iterations: int = 40, tolerance: float = 1e-6, damping: float = DAMPING, between_checks: int = 5) -> DataFrame:
     """ranks(id, score), summing to one. The mass of nodes without edges out is spread evenly.
 
-    Rounds are planned ``between_checks`` at a time; the last of each is written, and the
-    loop ends when no score moved by the tolerance in it.
+    Nodes that no edge leads to all have the same score, one number a round; only the others
+    are iterated over. Each round is a table, so that no round is planned twice; every
+    ``between_checks`` rounds the loop ends if no score moved by the tolerance in the last one.
     """
-    degree = edges.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("out"))
-    base = materialize(nodes.join(degree, "id", "left").select("id", F.coalesce("out", F.lit(0)).alias("out")), "rank-nodes")
-    links = materialize(edges, "rank-edges")
-    n = base.count()
+    spark = edges.sparkSession
+    links = materialize(edges.select("src", "dst"), "rank-edges")
+    degree = links.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("out"))
+    heard = links.select(F.col("dst").alias("id"), F.lit(True).alias("inner")).distinct()
+    base = nodes.select("id").join(degree, "id", "left").join(heard, "id", "left")
+    base = materialize(base.select("id", F.coalesce("out", F.lit(0)).alias("out"), F.coalesce("inner", F.lit(False)).alias("inner")), "rank-nodes")
+    n, outer, idle, sinks = base.agg(F.count("*"), F.count_if(~F.col("inner")), F.count_if(F.expr("NOT inner AND out = 0")), F.count_if(F.expr("inner AND out = 0"))).first()
     if not n:
         return base.select("id", F.lit(0.0).alias("score"))
-    now = base.withColumn("score", F.lit(1.0 / n)).withColumn("was", F.lit(0.0))
-    done = 0
-    while done < iterations:
-        for _ in range(min(between_checks, iterations - done)):
-            lost = now.agg(F.coalesce(F.sum(F.when(F.col("out") == 0, F.col("score"))), F.lit(0.0)).alias("lost"))
-            sent = links.join(now.where("out > 0").select(F.col("id").alias("src"), (F.col("score") / F.col("out")).alias("share")), "src").groupBy(F.col("dst").alias("id")).agg(F.sum("share").alias("got"))
-            now = now.select("id", "out", F.col("score").alias("was")).join(sent, "id", "left").crossJoin(F.broadcast(lost))  # one row
-            now = now.select("id", "out", (F.lit((1 - damping) / n) + F.lit(damping) * (F.coalesce("got", F.lit(0.0)) + F.col("lost") / n)).alias("score"), "was")
-            done += 1
-        now = materialize(now, "rank")
-        if tolerance > 0 and (now.agg(F.max(F.abs(F.col("score") - F.col("was"))).alias("d")).first()["d"] or 0.0) < tolerance:
+    given = links.join(base.where("NOT inner AND out > 0").select(F.col("id").alias("src"), (1.0 / F.col("out")).alias("c")), "src").groupBy(F.col("dst").alias("id")).agg(F.sum("c").alias("c"))
+    core = materialize(base.where("inner").join(given, "id", "left").select("id", "out", F.coalesce("c", F.lit(0.0)).alias("c")), "rank-core")
+    between = materialize(links.join(core.select(F.col("id").alias("src")), "src", "left_semi"), "rank-links")
+    now, path = core.withColumn("score", F.lit(1.0 / n)), None
+    alone, lost = 1.0 / n, sinks / n
+    for done in range(1, iterations + 1):
+        every = (1 - damping) / n + damping * (idle * alone + lost) / n
+        sent = between.join(now.where("out > 0").select(F.col("id").alias("src"), (F.col("score") / F.col("out")).alias("share")), "src").groupBy(F.col("dst").alias("id")).agg(F.sum("share").alias("got"))
+        after = now.select("id", "out", "c", F.col("score").alias("was")).join(sent, "id", "left")
+        after = after.select("id", "out", "c", (F.lit(every) + F.lit(damping) * (F.coalesce("got", F.lit(0.0)) + F.lit(alone) * F.col("c"))).alias("score"), "was")
+        before, (now, path) = path, written(after, "rank")
+        if before is not None:
+            drop(spark, before)
+        check = tolerance > 0 and (done % between_checks == 0 or done == iterations)
+        if sinks or check:
+            lost, moved = now.agg(F.coalesce(F.sum(F.when(F.col("out") == 0, F.col("score"))), F.lit(0.0)), F.coalesce(F.max(F.abs(F.col("score") - F.col("was"))), F.lit(0.0))).first()
+        settled = check and max(moved, abs(every - alone) if outer else 0.0) < tolerance
+        alone = every
+        if settled:
             break
-    return now.select("id", "score")
+    rest = base.where("NOT inner").select("id", F.lit(alone).alias("score"))
+    return now.select("id", "score").union(rest)
 
 
 def _hops(front: DataFrame, step: DataFrame, hops: int, keys: list[str]) -> DataFrame:

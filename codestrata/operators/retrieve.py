@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..plans.shared import materialize
 from ..sources.files import lines
 
 FIRST_SYMBOLS = 20
@@ -93,13 +95,25 @@ def outline(symbols: DataFrame, first_symbols: int = FIRST_SYMBOLS) -> DataFrame
     return first.groupBy(F.col("file").alias("path")).agg(F.array_join(F.transform(F.array_sort(F.collect_list("m")), lambda x: x["mark"]), " ").alias("outline"))
 
 
-def repo_map(ranks: DataFrame, symbols: DataFrame, max_tokens: int = 2048, focus: list[str] | None = None) -> DataFrame:
-    """(path, score, entry, tokens, position): files by rank, those in focus first, within a token budget."""
+Symbols = DataFrame | Callable[[DataFrame], DataFrame]
+"""Symbols, or what makes them of paths(path), so that only files whose symbols are shown are parsed."""
+
+
+def repo_map(ranks: DataFrame, symbols: Symbols, max_tokens: int = 2048, focus: list[str] | None = None) -> DataFrame:
+    """(path, score, entry, tokens, position): files by rank, those in focus first, within a token budget.
+
+    An entry takes a token at least unless its name is empty. So none beyond the first ``max_tokens`` + 1 named
+    files by rank can be within the budget, and only these (and those without a name) are outlined and summed.
+    """
     score = F.col("score") + (F.col("id").isin(*focus).cast("double") if focus else F.lit(0.0))
-    rows = ranks.select(F.col("id").alias("path"), score.alias("score")).join(outline(symbols), "path", "left")
+    rows = ranks.select(F.col("id").alias("path"), score.alias("score"))
+    order = [F.desc("score"), F.asc("path")]
+    named = F.coalesce(F.length(T.basename(F.col("path"))) > 0, F.lit(False))
+    rows = materialize(rows.where(named).orderBy(*order).limit(max(0, max_tokens) + 1).union(rows.where(~named)), "map-rows")
+    shown = symbols(rows.select("path")) if callable(symbols) else symbols.join(rows.select(F.col("path").alias("file")), "file", "left_semi")
     entry = F.concat_ws("  ", T.basename(F.col("path")), "outline")
-    rows = rows.select("path", "score", entry.alias("entry"), T.token_estimate(entry).alias("tokens"))
-    return within_budget(rows, "tokens", max_tokens, [F.desc("score"), F.asc("path")])
+    rows = rows.join(outline(shown), "path", "left").select("path", "score", entry.alias("entry"), T.token_estimate(entry).alias("tokens"))
+    return within_budget(rows, "tokens", max_tokens, order)
 
 
 def related_files(imports: DataFrame, focus: DataFrame) -> DataFrame:
@@ -111,15 +125,17 @@ def related_files(imports: DataFrame, focus: DataFrame) -> DataFrame:
     return ids.union(out).union(back).distinct()
 
 
-def context_pack(files: DataFrame, imports: DataFrame, symbols: DataFrame, focus: DataFrame, max_tokens: int = 8192, iterations: int = MAP_ITERATIONS) -> DataFrame:
+def context_pack(files: DataFrame, imports: DataFrame, symbols: Symbols, focus: DataFrame, max_tokens: int = 8192, iterations: int = MAP_ITERATIONS) -> DataFrame:
     """The map of the files related to a focus, in 30 % of the budget: (path, score, entry, tokens, running_tokens,
     position, all_symbols), the last the list of every symbol of a file in focus.
 
-    Ranks are those of the related files among themselves, over the imports between them.
+    Ranks are those of the related files among themselves, over the imports between them. Imports
+    are extracted once.
     """
     from . import graph
 
-    related = files.join(related_files(imports, focus), "path", "left_semi").select("path")
+    imports = materialize(imports.where(F.col("to").isNotNull()).select("from", "to"), "pack-imports")
+    related = materialize(files.join(related_files(imports, focus), "path", "left_semi").select("path"), "pack-files")
     inner = imports.join(related.withColumnRenamed("path", "from"), "from", "left_semi").join(related.withColumnRenamed("path", "to"), "to", "left_semi")
     nodes, edges = graph.file_graph(related, inner)
     ranks = graph.pagerank(nodes, edges, iterations)
@@ -127,7 +143,8 @@ def context_pack(files: DataFrame, imports: DataFrame, symbols: DataFrame, focus
     ranks = ranks.join(marked, "id", "left").select("id", (F.col("score") + F.coalesce("extra", F.lit(0.0))).alias("score"))
     rows = repo_map(ranks, symbols, int(max_tokens * 0.3))
     named = F.struct("ord", F.concat_ws(" ", "kind", "qualname").alias("s"))
-    whole = symbols.join(focus.withColumnRenamed("path", "file"), "file", "left_semi").groupBy(F.col("file").alias("path")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(named)), lambda x: x["s"]), ", ").alias("all_symbols"))
+    of_focus = symbols(related.join(focus, "path", "left_semi")) if callable(symbols) else symbols
+    whole = of_focus.join(focus.withColumnRenamed("path", "file"), "file", "left_semi").groupBy(F.col("file").alias("path")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(named)), lambda x: x["s"]), ", ").alias("all_symbols"))
     return rows.join(whole, "path", "left")
 
 

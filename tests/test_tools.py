@@ -8,7 +8,7 @@ from codestrata import log
 from codestrata.errors import CODES, EngineError, as_error, is_internal
 from codestrata.functions import text as T
 from codestrata.functions.lang import detect_language
-from codestrata.operators import extract, index, retrieve, security, stores
+from codestrata.operators import extract, graph, index, retrieve, security, stores
 
 
 def test_codes():
@@ -121,6 +121,56 @@ def test_secrets_named_in_capitals_are_found_by_default(spark):
     assert texts.select(security.redact(F.col("text"))).first()[0] == 'TOKEN = "[REDACTED]"'
 
 
+def test_ranks_equal_a_plain_iteration(spark):
+    edges = {(1, 2), (2, 3), (3, 1), (4, 2), (4, 5), (6, 5), (7, 7), (5, 8)}
+    ids = range(1, 12)
+    nodes, links = graph.build(spark.createDataFrame(sorted(edges), "src bigint, dst bigint"), spark.createDataFrame([(i,) for i in ids], "id bigint"))
+    for rounds in (1, 4, 9):
+        score = {i: 1 / 11 for i in ids}
+        for _ in range(rounds):
+            out = {i: sum(a == i for a, _ in edges) for i in ids}
+            lost = sum(score[i] for i in ids if not out[i])
+            score = {i: 0.15 / 11 + 0.85 * (sum(score[a] / out[a] for a, b in edges if b == i) + lost / 11) for i in ids}
+        got = {r["id"]: r["score"] for r in graph.pagerank(nodes, links, rounds, tolerance=0.0).collect()}
+        assert got == pytest.approx(score, abs=1e-12)
+
+
+def test_map_outlines_only_files_that_can_be_in_it(spark):
+    ranks = spark.range(500).selectExpr("concat('d/', id, IF(id % 100 = 7, '/', '')) AS id", "1.0D / (1 + id % 250) AS score")
+    symbols = spark.range(500).selectExpr("concat('d/', id) AS file", "1 AS ord", "true AS exported", "'function' AS kind", "concat('f', id) AS qualname")
+    asked = []
+
+    def of(paths):
+        asked.append(paths.count())
+        return symbols.join(paths.withColumnRenamed("path", "file"), "file", "left_semi")
+
+    got = sorted((r["position"], r["path"], r["running_tokens"]) for r in retrieve.repo_map(ranks, of, 30).collect())
+    rows = sorted((-r["score"], r["id"]) for r in ranks.collect())
+    want, total = [], 0
+    for i, (_, path) in enumerate(rows):
+        name = path.split("/")[-1]
+        entry = f"{name}  +Ff{name}" if name else ""
+        total += -(-len(entry) // 4)
+        want += [(i + 1, path, total)] if total <= 30 or i == 0 else []
+    assert got == want
+    assert asked == [31 + 5]
+
+
+def test_context_pack_extracts_imports_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def target(to):
+        seen.add(1)
+        return to
+
+    texts = texts_of(spark, [("a.ts", "function f() {\n}\n"), ("b.ts", ""), ("c.ts", "")])
+    links = spark.createDataFrame([("b.ts", "a.ts"), ("c.ts", "b.ts"), ("c.ts", "d.ts")], "from string, to string")
+    imports = links.withColumn("to", F.udf(target, "string").asNondeterministic()("to"))
+    out = retrieve.context_pack(texts, imports, extract.symbols(extract.parse(texts)), texts.where("path = 'a.ts'").select("path"), iterations=5).collect()
+    assert [(r["path"], r["all_symbols"]) for r in out] == [("a.ts", "function f"), ("b.ts", None)]
+    assert seen.value == 3
+
+
 def test_declarations_of_several_languages(spark):
     rows = texts_of(spark, [("a.sh", "function run {\n  x\n}\ngo-on () {\n y\n}\necho f()\n"), ("b.py", "class A[T](B):\n    async def m[T](self):\n        pass\nfrom . import x\nfrom .a.b import (c, d)\nimport os, sys\n"), ("c.ts", "class C {\n  static async *gen<T>(a: (x: number) => void): T {\n  }\n  #hidden() {\n  }\n}\n")])
     got = {(r["file"], r["kind"], r["name"]) for r in extract.symbols(extract.parse(rows)).collect()}
