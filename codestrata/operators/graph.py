@@ -8,12 +8,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..plans.shared import drop, materialize, written
 
 DAMPING = 0.85
 HOPS = 4
 """Steps of a walk that are planned at a time, between two written tables."""
+ISLAND_LINKS = 400_000
+"""Links of a weakly connected part that one task walks in memory."""
+BINS = 8
+"""Tasks that share as many links, of small parts."""
 
 
 def build(edges: DataFrame, nodes: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
@@ -113,9 +118,101 @@ def reach(edges: DataFrame, starts: DataFrame, backward: bool = False, depth: in
     return seen.where("start <> id")
 
 
-def strongly_connected(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def _islands(links: DataFrame) -> DataFrame:
+    """(id, island): the weakly connected part of every node of links (src, dst), by alternating star contractions."""
+    now = materialize(links.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct(), "islands")
+    last = None
+    while True:
+        both = now.select("u", "v").union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        large = both.join(low, "u").where("v > u AND v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
+        now = materialize(small, "islands")
+        # an order-free fingerprint of the edges tells whether anything changed
+        mark = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if mark == last:
+            return now.select(F.col("u").alias("id"), F.col("v").alias("island")).union(now.select(F.col("v").alias("id"), F.col("v").alias("island")).distinct())
+        last = mark
+
+
+def components_of(src: list, dst: list) -> tuple[list, list]:
+    """(nodes, component of each) of links in memory: Tarjan's walk with a stack of its own."""
+    after: dict = {}
+    for a, b in zip(src, dst, strict=True):
+        after.setdefault(a, []).append(b)
+        after.setdefault(b, [])
+    order: dict = {}
+    low: dict = {}
+    open_: list = []
+    named: dict = {}
+    for root in after:
+        if root in order:
+            continue
+        order[root] = low[root] = len(order)
+        open_.append(root)
+        walk = [(root, iter(after[root]))]
+        while walk:
+            node, rest = walk[-1]
+            for to in rest:
+                if to not in order:
+                    order[to] = low[to] = len(order)
+                    open_.append(to)
+                    walk.append((to, iter(after[to])))
+                    break
+                if to not in named:
+                    low[node] = min(low[node], order[to])
+            else:
+                walk.pop()
+                if walk:
+                    low[walk[-1][0]] = min(low[walk[-1][0]], low[node])
+                if low[node] == order[node]:
+                    at = len(open_) - 1
+                    while open_[at] != node:
+                        at -= 1
+                    part = open_[at:]
+                    del open_[at:]
+                    named |= dict.fromkeys(part, min(part))
+    return list(named), list(named.values())
+
+
+def strongly_connected(nodes: DataFrame, edges: DataFrame, links_in_memory: int = ISLAND_LINKS) -> DataFrame:
     """components(id, component): mutual reachability, named by the least id.
 
+    A component lies within one weakly connected part of the graph. Parts of up to ``links_in_memory``
+    links are walked in memory, about as many links at a time; only larger ones go through rounds.
+    """
+    links = materialize(edges.where("src <> dst").select("src", "dst").distinct(), "scc-edges")
+    every = nodes.select("id").distinct()
+    island = materialize(_islands(links), "scc-islands")
+    tagged = materialize(links.join(island.withColumnRenamed("id", "src"), "src"), "scc-tagged")
+    size = tagged.groupBy("island").agg(F.count("*").alias("n"))
+    large = materialize(size.where(F.col("n") > links_in_memory).select("island"), "scc-large")
+    count, n_large = tagged.count(), large.count()
+    small = tagged.join(large, "island", "left_anti") if n_large else tagged
+    bins = -(-count // links_in_memory) * BINS
+
+    def walked(table):
+        import pyarrow as pa
+
+        ids, parts = components_of(table.column("src").to_pylist(), table.column("dst").to_pylist())
+        kind = table.schema.field("src").type
+        return pa.table({"id": pa.array(ids, kind), "component": pa.array(parts, kind)})
+
+    kind = links.schema["src"].dataType
+    out = T.StructType([T.StructField("id", kind), T.StructField("component", kind)])
+    binned = small.select("src", "dst", F.pmod(F.xxhash64("island"), F.lit(max(1, bins))).alias("bin"))
+    done = materialize(binned.groupBy("bin").applyInArrow(walked, out), "scc-small")
+    if n_large:
+        rest = tagged.join(large, "island", "left_semi").select("src", "dst")
+        ids = rest.select(F.col("src").alias("id")).union(rest.select("dst")).distinct()
+        done = done.union(_by_colours(ids, rest))
+    return every.join(done, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
+
+
+def _by_colours(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Strongly connected components of a graph of any size, in rounds.
+
     Rounds of forward colouring: the least id that reaches a node colours it; the nodes of
     a colour that reach its first node back form a component and leave the graph.
     """
